@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from spanveil.llm import byte_bpe, token_counts
+from spanveil.llm import byte_bpe, exact_dedup, token_counts
 from spanveil.llm.common import table
 
 
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -17,5 +21,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op8_byte_bpe": op8_byte_bpe, "op9_token_counts": op9_token_counts}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_token_counts": op9_token_counts}
+ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.ORACLE}

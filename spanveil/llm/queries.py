@@ -4,11 +4,19 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanveil.llm import byte_bpe, exact_dedup, token_counts
+from spanveil.llm import byte_bpe, exact_dedup, mixing, token_counts
 from spanveil.llm.common import table
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in the order of their first copy's training position, those not taken last."""
+    rows = mixing.assign(table(spark, sf_dir, "documents"))
+    rows = rows.withColumn("_first", F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0)))
+    return rows.repartitionByRange("_first", "doc_id").sortWithinPartitions("_first", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
 
@@ -21,5 +29,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op7_exact_dedup": op7_exact_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_token_counts": op9_token_counts}
-ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.ORACLE}
+QUERIES = {"op4_mixing": op4_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_token_counts": op9_token_counts}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}

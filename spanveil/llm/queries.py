@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import byte_bpe, exact_dedup, mixing, token_counts
+from spanveil.llm import byte_bpe, exact_dedup, license_scan, mixing, token_counts
 from spanveil.llm.common import table
 
 
@@ -29,5 +29,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_token_counts": op9_token_counts}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_mixing": op4_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_token_counts": op9_token_counts, "op10_license_scan": op10_license_scan}
 ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}

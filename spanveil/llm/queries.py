@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import byte_bpe, exact_dedup, license_scan, mixing, token_counts
+from spanveil.llm import byte_bpe, exact_dedup, license_scan, mixing, token_counts, toxicity
 from spanveil.llm.common import table
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the order of their first copy's training position, those not taken last."""
     rows = mixing.assign(table(spark, sf_dir, "documents"))
@@ -33,5 +37,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_token_counts": op9_token_counts, "op10_license_scan": op10_license_scan}
+QUERIES = {"op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_token_counts": op9_token_counts, "op10_license_scan": op10_license_scan}
 ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}

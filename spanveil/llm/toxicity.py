@@ -65,7 +65,7 @@ class Model:
         return score
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 2e-5) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 2e-4) -> Model:
     """The classifier from the word slots of the sampled documents; without positives all scores are about ``prior``."""
     prior = min(max(prior, 1e-3), 0.5)
     base = math.log(prior / (1 - prior))

@@ -32,7 +32,7 @@ def test_held_out_accuracy(spark):
 def test_risk_is_corrected_by_the_prior():
     rng = np.random.default_rng(5)
     doc = lambda bad: np.array(sorted({*rng.integers(100, 400, 30)} | ({int(rng.integers(0, 5))} if bad else set())), np.int32)
-    model = toxicity.fit([doc(True) for _ in range(300)], [doc(k % 10 == 0) for k in range(3000)], 0.1)
+    model = toxicity.fit([doc(True) for _ in range(300)], [doc(k % 10 == 0) for k in range(3000)], 0.1, decay=1e-5)
     weight = dict(zip(model.slots.tolist(), model.weights.tolist(), strict=True))
     sig = lambda z: 1 / (1 + np.exp(-z))
     assert all(sig(model.bias + weight[k]) > 0.8 for k in range(5)) and sig(model.bias) < 0.1

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import byte_bpe, exact_dedup, license_scan, mixing, ngram_join, token_counts, toxicity
+from spanveil.llm import ann, byte_bpe, exact_dedup, license_scan, mixing, ngram_join, token_counts, toxicity
 from spanveil.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.repartitionByRange("_first", "doc_id").sortWithinPartitions("_first", "doc_id").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_token_counts": op9_token_counts, "op10_license_scan": op10_license_scan}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_ann": op5_ann, "op7_exact_dedup": op7_exact_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_token_counts": op9_token_counts, "op10_license_scan": op10_license_scan}
 ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanveil.llm import ann, byte_bpe, exact_dedup, license_scan, mixing, ngram_join, token_counts, toxicity
+from spanveil.llm import ann, byte_bpe, exact_dedup, license_scan, mixing, ngram_join, pii, token_counts, toxicity
 from spanveil.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,5 +49,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_ann": op5_ann, "op7_exact_dedup": op7_exact_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_token_counts": op9_token_counts, "op10_license_scan": op10_license_scan}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_ann": op5_ann, "op7_exact_dedup": op7_exact_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_token_counts": op9_token_counts, "op10_license_scan": op10_license_scan}
 ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}

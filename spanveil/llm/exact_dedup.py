@@ -118,8 +118,10 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     marks = stored(mark(docs, text, key), "marks")
     names = marks.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.max("kept").alias("_kept"))
     odd = names.where("_n > 1 OR _key IS NULL").select("_key")
-    gone = names.where("_n > 1 OR _key IS NULL OR NOT _kept").select("_key")
-    plain = docs.join(gone, docs[key].eqNullSafe(F.col("_key")), "left_anti")
+    gone = stored(names.where("_n > 1 OR _key IS NULL OR NOT _kept").select("_key", "_n"), "gone")
+    plain = docs.join(gone.select("_key"), docs[key].eqNullSafe(F.col("_key")), "left_anti")
+    if gone.where("_n > 1 OR _key IS NULL").limit(1).count() == 0:
+        return plain
 
     sha = F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]", "").cast("binary"), 256)
     again = docs.join(odd, docs[key].eqNullSafe(F.col("_key")), "left_semi").withColumn("_sha", sha)

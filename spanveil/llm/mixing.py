@@ -102,15 +102,16 @@ def ordered(docs: DataFrame, text: str = "text", key: str = "doc_id", source: st
     id_, size_, source_ = F.col(f"`{key}`"), words(F.col(f"`{text}`")), F.col(f"`{source}`")
     places = assign(docs, text, key, source).where("epochs > 0")
     places = places.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("size").alias("_size"), F.explode("positions").alias("_at"))
-    nth = Window.partitionBy("_key", "_source", "_size")
     lots = places.groupBy("_key", "_source", "_size").agg(F.sort_array(F.collect_list("_at")).alias("_all"))
     names = docs.groupBy(id_.alias("_key"), source_.alias("_source"), size_.alias("_size")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
-    lots = lots.join(names, lots["_key"].eqNullSafe(names["_key"]) & lots["_source"].eqNullSafe(names["_source"]) & (lots["_size"] == names["_size"]), "left").select(lots["_key"], lots["_source"], lots["_size"], "_all", F.coalesce("_rows", F.lit(1)).alias("_rows"))
-    rows = docs.withColumn("_row", F.lit(1)).join(lots, id_.eqNullSafe(F.col("_key")) & source_.eqNullSafe(F.col("_source")) & (size_ == F.col("_size")))
-    nth = Window.partitionBy("_key", "_source", "_size").orderBy(F.xxhash64(text))
-    single = rows.where("_rows = 1")
-    several = rows.where("_rows > 1").withColumn("_row", F.row_number().over(nth))
-    all_ = single.unionByName(several)
+    names = names.withColumnsRenamed({"_key": "_k", "_source": "_s", "_size": "_z"})
+    lots = lots.join(names, F.col("_key").eqNullSafe(F.col("_k")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")), "left")
+    lots = stored(lots.select("_key", "_source", "_size", "_all", F.coalesce("_rows", F.lit(1)).alias("_rows")), "lots")
+    met = lambda some: docs.join(some, id_.eqNullSafe(F.col("_key")) & source_.eqNullSafe(F.col("_source")) & (size_ == F.col("_size")))
+    all_ = met(lots.where("_rows = 1")).withColumn("_row", F.lit(1))
+    if lots.where("_rows > 1").limit(1).count():
+        nth = Window.partitionBy("_key", "_source", "_size").orderBy(F.xxhash64(text))
+        all_ = all_.unionByName(met(lots.where("_rows > 1")).withColumn("_row", F.row_number().over(nth)))
     mine = F.filter(F.col("_all"), lambda x, i: (i % F.col("_rows") + 1) == F.col("_row"))
     out = all_.withColumn("_at", F.explode(mine))
     return out.repartitionByRange(F.col("_at"), id_).sortWithinPartitions("_at", id_).select(*[f"`{c}`" for c in docs.columns])

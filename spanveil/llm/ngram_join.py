@@ -333,8 +333,10 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     found = stored(found, "joined")
     names = found.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.min((F.col(key).eqNullSafe(F.col("component_id"))).cast("int")).alias("_stays"))
     odd = names.where("_n > 1 OR _key IS NULL").select("_key")
-    gone = names.where("_n > 1 OR _key IS NULL OR _stays = 0").select("_key")
-    plain = docs.join(gone, docs[key].eqNullSafe(F.col("_key")), "left_anti")
+    gone = stored(names.where("_n > 1 OR _key IS NULL OR _stays = 0").select("_key", "_n"), "gone")
+    plain = docs.join(gone.select("_key"), docs[key].eqNullSafe(F.col("_key")), "left_anti")
+    if gone.where("_n > 1 OR _key IS NULL").limit(1).count() == 0:
+        return plain
 
     again = docs.join(odd, docs[key].eqNullSafe(F.col("_key")), "left_semi")
     sizes = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key"), "cls", "label").distinct()

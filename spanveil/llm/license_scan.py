@@ -1,10 +1,12 @@
 """License scans with built-in functions only.
 
-Words are runs of ASCII letters and digits, lower-cased; shingles are five words. Templates of 16 shingles or more, and
-all texts, are cut into windows of 16 shingles that overlap by half; shorter templates and texts are cut into windows
-of one shingle. A window's signature is one MinHash value for each band. For one shingle a single band is certain. For 16,
-a template window and the text window nearest to it in a whole copy share 12 shingles of 20 at least, a similarity of 0.6,
-so ``BANDS`` = 8 bands of one row miss it with probability 0.4 ** 8, under 0.0007; any one of a template's windows is enough.
+Words are runs of ASCII letters and digits of the lower-cased text; shingles are five words. Texts are cut into windows
+of 16 shingles that overlap by half; templates of ``LONG`` = 24 shingles or more are cut into windows of 16 at every
+shingle, so that a text window inside a whole copy has a template window with the very same shingles. A window's signature
+is four MinHash values, a band each: the least and the greatest hash, and the same after an exclusive or. Equal windows
+share all bands; a window that one changed word cuts from 16 shingles to 11 in common, a similarity of 11 / 21, is missed
+with probability (10 / 21) ** 4, under 0.06, and any one of the copy's windows is enough. In shorter templates and for
+them, windows are single shingles, where one band is certain.
 
 Retrieved templates are then verified exactly: the distinct shingles of the template that stand in the document, within
 the stretch where a whole copy could stand, over the template's shingles, must be 0.8 or more.
@@ -22,7 +24,10 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 WINDOW = 16
-BANDS = 8
+LONG = 24
+BANDS = 4
+#: Turns the order of hashes over for the second pair of bands.
+MASK = 0x5A5A_A5A5_3C3C_C3C3
 LEAST = 0.8
 MOST_BANDS = 20_000
 
@@ -53,33 +58,20 @@ def _let(value: Column, body) -> Column:
 
 def _shingles(text: Column) -> Column:
     """64-bit hashes of the five-word shingles in order; none if there are fewer words."""
-    plain = F.trim(F.regexp_replace(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+", " "))
-    hashes = F.transform(F.split(plain, " "), lambda w: F.xxhash64(w))
+    hashes = F.transform(F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), ""), lambda w: F.xxhash64(w))
     at = lambda h, i, k: F.get(h, i + k)
     made = lambda h: F.transform(F.slice(h, 1, F.greatest(F.lit(0), F.size(h) - (SHINGLE - 1))), lambda a, i: F.xxhash64(a, *(at(h, i, k) for k in range(1, SHINGLE))))
     return _let(hashes, made)
 
 
-def _masks() -> list[int]:
-    """A mask for each band: its number in the leading bits, so that bands differ where it counts, then mixed bits."""
-    out, x = [], 0x2545F4914F6CDD1D
-    for k in range(BANDS):
-        x = (x * 6364136223846793005 + 1442695040888963407) % 2**64
-        mask = (k << 61) | (x >> 3)
-        out.append(mask - 2**64 if mask >= 2**63 else mask)
-    return out
-
-
-def _windows(shingles: Column) -> Column:
-    """(first, mins) of each window of ``WINDOW`` shingles, starting every half of it; the last ones may be shorter.
-
-    Hashes are random bits already, so the permutations are exclusive ors with fixed masks.
-    """
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(shingles) - 1), F.lit(WINDOW // 2))
-    by = lambda mask: lambda h: h.bitwiseXOR(F.lit(mask))
-    mixed = F.array(*(F.transform(shingles, by(mask)) for mask in _masks()))
-    mins = lambda m, s: F.array(*(F.array_min(F.slice(F.get(m, F.lit(k)), s + 1, F.lit(WINDOW))) for k in range(BANDS)))
-    return _let(mixed, lambda m: F.transform(starts, lambda s: F.struct(s.alias("first"), mins(m, s).alias("mins"))))
+def _windows(shingles: Column, step: int) -> Column:
+    """(first, mins) of each window of ``WINDOW`` shingles, one every ``step``; the last ones may be shorter."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(shingles) - 1), F.lit(step))
+    cut = lambda x, s: F.slice(x, s + 1, F.lit(WINDOW))
+    both = lambda h: F.array(h, F.transform(h, lambda x: x.bitwiseXOR(F.lit(MASK))))
+    mins = lambda a, b: F.array(F.array_min(a), F.array_max(a), F.array_min(b), F.array_max(b))
+    made = lambda p: F.transform(starts, lambda s: F.struct(s.alias("first"), mins(cut(F.get(p, F.lit(0)), s), cut(F.get(p, F.lit(1)), s)).alias("mins")))
+    return _let(_let(shingles, both), made)
 
 
 def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
@@ -87,7 +79,7 @@ def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataF
     texts = TEMPLATES if texts is None else texts
     df = spark.createDataFrame(list(texts.items()), "license string, text string")
     df = df.select("license", _shingles(F.col("text")).alias("shingles")).where(F.size("shingles") > 0)
-    cut = F.when(F.size("shingles") < WINDOW, F.transform("shingles", lambda h: F.array(h))).otherwise(F.transform(_windows(F.col("shingles")), lambda w: w["mins"]))
+    cut = F.when(F.size("shingles") < LONG, F.transform("shingles", lambda h: F.array(h))).otherwise(F.transform(_windows(F.col("shingles"), 1), lambda w: w["mins"]))
     return df.select("license", "shingles", cut.alias("windows"))
 
 
@@ -105,24 +97,32 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, text: str = "text
     for r in catalog:
         sets[r.license] = list(dict.fromkeys(r.shingles))
         for b, m in ((b, m) for mins in r.windows for b, m in enumerate(mins)):
-            found.setdefault((b if len(r.shingles) >= WINDOW else -1, m), set()).add(r.license)
+            found.setdefault((b if len(r.shingles) >= LONG else -1, m), set()).add(r.license)
     if len(found) > MOST_BANDS:
         raise ValueError(f"the catalog has {len(found)} bands; scan it in parts of {MOST_BANDS} at most")
 
-    rows = docs.select(F.col(f"`{key}`").alias(key), _shingles(F.col(f"`{text}`")).alias("_h"))
+    if not found:
+        return docs.limit(0).select(F.col(f"`{key}`").alias(key), *(F.lit(None).cast(k).alias(n) for n, k in (("license", "string"), ("n_template", "long"), ("n_found", "long"), ("containment", "double"), ("first_shingle", "long"))))
     values = {k: sorted({m for b, m in found if b == k}) for k in range(-1, BANDS)}
     as_hit = lambda first, band, m: F.struct(first.cast("int").alias("first"), F.lit(band).alias("band"), m.alias("m"))
-    hits = []
-    if values[-1]:
-        alone = F.transform("_h", lambda h, i: F.when(h.isin(values[-1]), as_hit(i, -1, h)))
-        hits.append(F.filter(alone, lambda x: x.isNotNull()))
-    if values[0]:
-        met = lambda w: F.array(*(F.when(F.get(w["mins"], F.lit(k)).isin(values[k]), as_hit(w["first"], k, F.get(w["mins"], F.lit(k)))) for k in range(BANDS)))
-        any_ = lambda w: F.coalesce(*(F.when(F.get(w["mins"], F.lit(k)).isin(values[k]), True) for k in range(BANDS)), F.lit(False))
-        hits.append(F.filter(F.flatten(F.transform(F.filter(_windows(F.col("_h")), any_), met)), lambda x: x.isNotNull()))
-    if not hits:
-        return rows.limit(0).select(F.col(key), *(F.lit(None).cast(k).alias(n) for n, k in (("license", "string"), ("n_template", "long"), ("n_found", "long"), ("containment", "double"), ("first_shingle", "long"))))
-    rows = rows.withColumn("_hits", F.concat(*hits)).where(F.size("_hits") > 0)
+    band = lambda w, k: F.get(w["mins"], F.lit(k))
+    any_ = lambda w: F.coalesce(*(F.when(band(w, k).isin(values[k]), True) for k in range(BANDS)), F.lit(False))
+    met = lambda w: F.array(*(F.when(band(w, k).isin(values[k]), as_hit(w["first"], k, band(w, k))) for k in range(BANDS)))
+    known = lambda xs: F.filter(xs, lambda x: x.isNotNull())
+
+    def retrieves(h: Column) -> Column:
+        tests = [F.exists(h, lambda x: x.isin(values[-1]))] * bool(values[-1]) + [F.exists(_windows(h, WINDOW // 2), any_)] * bool(values[0])
+        return F.greatest(*tests) if len(tests) > 1 else tests[0]
+
+    def retrieved(h: Column) -> Column:
+        alone = known(F.transform(h, lambda x, i: F.when(x.isin(values[-1]), as_hit(i, -1, x)))) if values[-1] else None
+        windows = known(F.flatten(F.transform(F.filter(_windows(h, WINDOW // 2), any_), met))) if values[0] else None
+        return F.concat(*(x for x in (alone, windows) if x is not None))
+
+    # the first filter sees every text; what follows it works on the few that hit
+    hits = docs.where(_let(_shingles(F.col(f"`{text}`")), retrieves))
+    rows = hits.select(F.col(f"`{key}`").alias(key), _shingles(F.col(f"`{text}`")).alias("_h"))
+    rows = rows.withColumn("_hits", retrieved(F.col("_h")))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     hit = rows.select(key, "_row", "_h", F.explode("_hits").alias("hit")).select(key, "_row", "_h", "hit.first", "hit.band", "hit.m")
     names = spark.createDataFrame([(b, m, n) for (b, m), ns in sorted(found.items()) for n in sorted(ns)], "band int, m long, license string")

@@ -60,4 +60,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_ngram_join": op1_ngram_join, "op2_pii": op2_pii, "op3_toxicity": op3_toxicity, "op4_mixing": op4_mixing, "op5_ann": op5_ann, "op6_gru_lm": op6_gru_lm, "op7_exact_dedup": op7_exact_dedup, "op8_byte_bpe": op8_byte_bpe, "op9_token_counts": op9_token_counts, "op10_license_scan": op10_license_scan, "pipeline": pipeline}
-ORACLES: dict[str, str] = {"op4_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op1_ngram_join": ngram_join.ORACLE, "op4_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}

@@ -19,16 +19,25 @@ _WORD_CATEGORIES = ("L", "N", "M")
 _BLANKS = "\t\n\x0b\x0c\r \xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
 
+#: Characters from U+0300 on may combine with others; all before it are graphemes by themselves and in composed form.
+_MAY_COMBINE = re.compile(f"[^{chr(0)}-{chr(0x2FF)}]|\r\n").search
+
+
+def plain(text: str) -> bool:
+    """Whether every code point of ``text`` is one grapheme, in every composed normal form itself."""
+    return _MAY_COMBINE(text) is None
+
+
 def graphemes(text: str) -> list[tuple[int, int]]:
     """Half-open ranges of the extended grapheme clusters, in order."""
-    if text.isascii() and "\r\n" not in text:
+    if plain(text):
         return [(i, i + 1) for i in range(len(text))]
     return [m.span() for m in _CLUSTER.finditer(text)]
 
 
 def edges(text: str) -> set[int] | range:
     """All offsets at which a grapheme begins or ends, 0 and the end included."""
-    if text.isascii() and "\r\n" not in text:
+    if plain(text):
         return range(len(text) + 1)
     return {0, len(text), *(e for _, e in graphemes(text))}
 
@@ -57,6 +66,26 @@ def fold(value: str) -> str:
     return value.lower() if value.isascii() else "".join(map(_fold_char, value))
 
 
+#: Plain characters whose folding is not their lower case.
+_ODD = re.compile("[" + "".join(c for c in map(chr, range(0x80, 0x300)) if _fold_char(c) != c.lower()) + "]").search
+
+
+def fold_plain(text: str) -> str | None:
+    """``fold`` of a plain text in one call; None if one of its characters folds otherwise."""
+    return text.lower() if _ODD(text) is None else None
+
+
+@lru_cache(maxsize=1)
+def fold_sources() -> dict[str, str]:
+    """For each folded, composed character, all single characters that fold and compose to it."""
+    out: dict[str, str] = {}
+    for cp in range(0x20, 0x10000):
+        if not 0xD800 <= cp <= 0xDFFF:
+            c = chr(cp)
+            out.setdefault(fold(unicodedata.normalize("NFC", c)), []).append(c)
+    return {k: "".join(v) for k, v in out.items() if len(k) == 1}
+
+
 @lru_cache(maxsize=200_000)
 def in_word(c: str) -> bool:
     """Letters, numbers, marks, connector punctuation and the two zero-width joiners keep a word going."""

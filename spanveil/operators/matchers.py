@@ -8,6 +8,8 @@ character a unit, and all overlapping occurrences come out of a single pass, wha
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -16,8 +18,8 @@ import ahocorasick
 import regex
 
 from spanveil.functions.patterns import STAND_IN, compiled
-from spanveil.functions.unicode import fold, graphemes, in_word, normal
-from spanveil.operators.rules import Changes, LocaleWord, Rule
+from spanveil.functions.unicode import fold, fold_plain, fold_sources, graphemes, in_word, normal, plain
+from spanveil.operators.rules import Changes, LocaleWord, Rule, folded
 
 Found = tuple[int, int, int, int]
 _UNKNOWN = chr(0xFFFF)
@@ -37,9 +39,16 @@ class Text:
 
     def __init__(self, source: str):
         self.source = source
-        self.ranges = graphemes(source)
+        self.plain = plain(source)
+        self._ranges: list | None = None
         self._units: dict = {}
 
+    @property
+    def ranges(self) -> list[tuple[int, int]]:
+        if self._ranges is None:
+            self._ranges = graphemes(self.source)
+        return self._ranges
+
     def units(self, form: str, changes: Changes | None = None, key=None) -> list[Unit]:
         if (form, key) not in self._units:
             self._units[form, key] = self._made(form, changes)
@@ -48,7 +57,7 @@ class Text:
     def _made(self, form: str, changes: Changes | None) -> list[Unit]:
         source = self.source
         if changes is None:
-            if source.isascii():
+            if self.plain and form in ("none", "NFC"):
                 return [Unit(source[a:b], a, b) for a, b in self.ranges]
             return [Unit(normal(source[a:b], form), a, b) for a, b in self.ranges]
         out, skipped = [], 0
@@ -187,8 +196,34 @@ class TermMatcher:
         self.form, self.boundary = s["normalization"], s["boundary"]
         split = lambda t: tuple(t[a:b] for a, b in graphemes(t))
         self.terms = Dictionary([split(t) for t in s["terms"]], s["case_sensitive"])
+        # plain texts can only hold terms that are plain once folded; these run over the text's own characters
+        self.fold = (lambda t: t) if s["case_sensitive"] else fold_plain
+        self.direct = ahocorasick.Automaton()
+        for t in s["terms"]:
+            t = folded(t, s["case_sensitive"])
+            if plain(t):
+                self.direct.add_word(t, len(t))
+        self.direct.make_automaton()
+        self.direct_use = self.form in ("none", "NFC") and self.boundary in ("word", "unicode-word", "substring")
+
+    def _plain(self, source: str, value: str) -> Iterator[Found]:
+        if not len(self.direct):
+            return
+        whole, n, at, group = self.boundary == "substring", len(source), -1, []
+        for end, size in self.direct.iter(value):
+            start = end - size + 1
+            if not whole and (start and in_word(source[start - 1]) or end + 1 < n and in_word(source[end + 1])):
+                continue
+            if end != at:
+                yield from sorted(group)
+                at, group = end, []
+            group.append((start, end + 1, start, end + 1))
+        yield from sorted(group)
 
     def find(self, text: Text) -> Iterator[Found]:
+        if self.direct_use and text.plain and (value := self.fold(text.source)) is not None:
+            yield from self._plain(text.source, value)
+            return
         units = text.units(self.form)
         edge = Boundary(units, self.boundary)
         for i, j in self.terms.occurrences(units):
@@ -253,6 +288,36 @@ def _spent(units: list[Unit], i: int, j: int) -> dict[str, int]:
     return out
 
 
+def _superset(spec: dict, repeats: bool):
+    """A search for what any candidate of the entries looks like in the source, or None where that is not one pattern.
+
+    Each unit is one of the characters that fold to it or stand for it, with ignored ones between. It only decides
+    whether a text is worth the full scan, so it may find too much, never too little.
+    """
+    changes: Changes = spec["changes"]
+    single = lambda v: len(v) == 1 and unicodedata.normalize("NFD", v) == v
+    if spec["normalization"] not in ("none", "NFC") or not all(map(single, [*changes.sources, *changes.sources.values(), *changes.ignored])):
+        return None
+    key = (lambda v: v) if spec["case_sensitive"] else fold
+    stands: dict[str, str] = {}
+    for source, canonical in changes.sources.items():
+        stands[key(canonical)] = stands.get(key(canonical), "") + source
+    escape = lambda cs: "".join("\\" + c if c in "\\]^-[&~|" else c for c in dict.fromkeys(cs))
+    skip = f"[{escape(changes.ignored)}]*" if changes.ignored else ""
+    options = set()
+    for e in spec["entries"]:
+        if not all(map(single, e.units)):
+            return None
+        made = ""
+        for value, _, least, letter in e.runs:
+            chars = (value + stands.get(value, "")) if spec["case_sensitive"] else fold_sources().get(key(value), value) + stands.get(key(value), "")
+            made += f"(?:[{escape(chars)}]{skip}){{{least},{'' if letter and repeats else least}}}"
+        options.add(made)
+    # an option that begins with another is found with it
+    kept = [o for o in options if not any(o != p and o.startswith(p) for p in options)]
+    return re.compile("|".join(sorted(kept))).search
+
+
 class ObfuscatedMatcher:
     """All occurrences on the changed units, within budgets and with one change at least; targets if entries have them."""
 
@@ -261,8 +326,11 @@ class ObfuscatedMatcher:
         self.targeted = rule.kind == "targeted"
         groups = [[e] for e in s["entries"]] if self.targeted else [s["entries"]]
         self.parts = [(g[0], Dictionary([e.units for e in g], s["case_sensitive"])) for g in groups]
+        self.worth = _superset(s, False)
 
     def find(self, text: Text) -> Iterator[Found]:
+        if self.worth is not None and self.worth(text.source) is None:
+            return
         s, seen = self.spec, set()
         changes: Changes = s["changes"]
         units = text.units(s["normalization"], changes, id(self))
@@ -291,8 +359,11 @@ class RepeatedMatcher:
         for e in rule.spec["entries"]:
             runs = [(self.key(v), first, n, letter) for v, first, n, letter in e.runs]
             self.first.setdefault(runs[0][0], []).append((e, runs))
+        self.worth = _superset(rule.spec, True)
 
     def find(self, text: Text) -> Iterator[Found]:
+        if self.worth is not None and self.worth(text.source) is None:
+            return
         s = self.spec
         changes: Changes = s["changes"]
         limits, classes = changes.limits, ("substitution", "width", "confusable")

@@ -259,3 +259,32 @@ def test_groups_and_edges(spark):
     groups = df.first().g
     assert [(g.reveal_id, g.match_ids) for g in groups][-1] == ("m2", ["m2"])
     assert [s.edge for s in groups[-1].segments] == ["start", "end"]
+
+
+def test_plain_characters_fold_alike():
+    from spanveil.functions.unicode import fold_plain, plain
+
+    for cp in range(0x300):
+        c = chr(cp)
+        assert plain(c) and graphemes("a" + c + "b") == [(0, 1), (1, 2), (2, 3)]
+        assert fold_plain(c) in (fold(c), None)
+    assert fold_plain("É") == "é" and fold_plain("µ") is None
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["the", "THE ", "éa", "ſo", " ", "so", "K", "ask", "\r\n", "İ", "ı", ".", "e" + chr(0x301), "ß"]), max_size=12).map("".join), st.booleans(), st.sampled_from(["word", "substring"]))
+def test_plain_texts_scan_as_any_other(text, sensitive, boundary):
+    rule = term_rule("t", ["the", "so", "ask", "k", "s", "é", "ß", "éa"], case_sensitive=sensitive, boundary=boundary)
+    fast, slow = Engine([rule]), Engine([rule])
+    slow._matchers()[0].direct_use = False
+    assert fast.find(text) == slow.find(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"fucksht", "f", "u", "*", "(", "1", ".", "-", " ", chr(0x200B), chr(0xFF55), chr(0x441), "K", "ſ", "mother", "shit", "bull", chr(0x301), "tt"]), max_size=14).map("".join))
+def test_texts_that_are_passed_over_hold_nothing(text):
+    fast, slow = Engine(rules_from_packs(packs.OBFUSCATED)), Engine(rules_from_packs(packs.OBFUSCATED))
+    for m in slow._matchers():
+        assert m.worth is not None
+        m.worth = None
+    assert fast.find(text) == slow.find(text)

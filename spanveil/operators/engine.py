@@ -18,6 +18,8 @@ from spanveil.functions.unicode import edges, graphemes, utf16_offsets
 from spanveil.operators.matchers import KINDS, Text
 from spanveil.operators.rules import PRESETS, Rule, rank_of
 
+#: Terms up to which a built-in condition is cheaper than sending a text to Python.
+MOST_TESTS = 32
 MATCH = "struct<rule_id:string,pack_id:string,profile:string,text:string,start:int,end:int,target_text:string,target_start:int,target_end:int>"
 SEGMENT = "struct<text:string,covered:boolean,rule_ids:array<string>,start:int,end:int>"
 _match_type = pa.struct([("rule_id", pa.string()), ("pack_id", pa.string()), ("profile", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("target_text", pa.string()), ("target_start", pa.int32()), ("target_end", pa.int32())])
@@ -122,6 +124,26 @@ class Engine:
 
     # columns
 
+    def may_match(self, text: Column) -> Column | None:
+        """A built-in condition that every text with a match meets; None where the rules give none.
+
+        For dictionaries of ASCII terms: that one of them is in the lower-cased text, or the one letter outside ASCII
+        that folds into it without a lower case there. Case-sensitive terms must be in the text itself.
+        """
+        tests = []
+        for rule in self.rules:
+            s = rule.spec
+            if rule.kind != "terms" or s["normalization"] not in ("none", "NFC") or len(s["terms"]) > MOST_TESTS or not all(t.isascii() and not set(t) & set(";`") for t in s["terms"]):
+                return None
+            if s["case_sensitive"]:
+                tests += [F.contains(text, F.lit(t)) | F.contains(text, F.lit(chr(0x212A))) for t in s["terms"]]
+            else:
+                tests += [F.contains(F.lower(text), F.lit(t.lower())) for t in s["terms"]] + [F.contains(text, F.lit(chr(0x17F)))]
+        out = F.lit(False)
+        for t in tests:
+            out = out | t
+        return out
+
     def _column(self, fn: Callable, kind: str, arrow: pa.DataType, text: Column) -> Column:
         engine = self
 
@@ -133,7 +155,9 @@ class Engine:
 
     def find_column(self, text: Column) -> Column:
         """array<MATCH> of each text."""
-        return self._column(lambda e, t: e.find(t), f"array<{MATCH}>", pa.list_(_match_type), text)
+        worth = self.may_match(text)
+        some = text if worth is None else F.when(text.isNull() | worth, text).otherwise("")  # others don't leave the JVM
+        return self._column(lambda e, t: e.find(t), f"array<{MATCH}>", pa.list_(_match_type), some)
 
     def segment_column(self, text: Column) -> Column:
         """array<SEGMENT> of each text; needed for callable coverages, else ``expr.segments`` gives the same from matches."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spanveil import packs
 from spanveil.operators import expr
 from spanveil.operators import relational as rel
+from spanveil.operators import views
 from spanveil.operators.engine import Engine, vowels
 from spanveil.operators.rules import matcher_rule, obfuscated_rule, regex_rule, rules_from_packs, term_rule, transformed_rule
 from spanveil.sources import html, state
@@ -298,6 +299,39 @@ def sanitize_verify(spark, sf_dir):
     return out.select("doc_id", F.size("r.source_absence.present").cast("long").alias("n_present"), F.col("r.source_absence.absent").alias("absent"))
 
 
+@query("export_gate", ORACLES["sanitize_verify"].replace("SELECT doc_id, coalesce(n, 0) AS n_present, coalesce(n, 0) = 0 AS absent FROM clean LEFT JOIN still USING (doc_id)", "SELECT doc_id, c AS clean FROM clean LEFT JOIN still USING (doc_id) WHERE n IS NULL"))
+def export_gate(spark, sf_dir):
+    docs = read(spark, sf_dir).where(F.length("text") > 0)
+    out = docs.select("doc_id", _words().sanitize_column(F.col("text"), "[x]", verify=True).alias("report"))
+    return views.exportable(out).select("doc_id", F.col("report.text").alias("clean"))
+
+
+@query("xray_stages", f"{_PHRASE}, f AS (SELECT doc_id, s, e, m, row_number() OVER (PARTITION BY doc_id ORDER BY s, e DESC) AS r FROM hit) SELECT doc_id, m AS match_text, CAST(0 AS BIGINT) AS target_start, e - s AS target_end FROM f WHERE r = 1")
+def xray_stages(spark, sf_dir):
+    df = read(spark, sf_dir).select("doc_id", views.stages(Engine([term_rule("phrases", PHRASES)]), F.col("text")).alias("s")).where("s IS NOT NULL")
+    return df.select("doc_id", F.col("s.match").alias("match_text"), F.col("s.target_start").cast("long").alias("target_start"), F.col("s.target_end").cast("long").alias("target_end"))
+
+
+@query("visual_controls", f"{_ISLANDS} SELECT doc_id, count(*) AS n_controls FROM merged GROUP BY doc_id")
+def visual_controls(spark, sf_dir):
+    df = read(spark, sf_dir).select("doc_id", views.visual_column(Engine([term_rule("phrases", PHRASES)]), F.col("text"), "grawlix").alias("v"))
+    return df.select("doc_id", F.size("v.controls").cast("long").alias("n_controls")).where("n_controls > 0")
+
+
+@query("covered_edges", f"{_ISLANDS} SELECT doc_id, s AS start_at, CASE WHEN count(*) OVER d = 1 THEN 'solo' WHEN row_number() OVER (PARTITION BY doc_id ORDER BY s) = 1 THEN 'start' WHEN row_number() OVER (PARTITION BY doc_id ORDER BY s DESC) = 1 THEN 'end' ELSE 'middle' END AS edge FROM merged WINDOW d AS (PARTITION BY doc_id)")
+def covered_edges(spark, sf_dir):
+    """A document's covers as one group: the place of each among them."""
+    parts = rel.segments(read(spark, sf_dir), Engine([term_rule("phrases", PHRASES)])).where("covered")
+    return views.edges(parts.select("doc_id", F.lit("m0").alias("reveal_id"), F.col("start").cast("long").alias("pos"))).select("doc_id", F.col("pos").alias("start_at"), "edge")
+
+
+@query("reveal_clicks", "WITH l AS (SELECT user_id, max(CASE WHEN event_type = 'error' THEN event_id END) AS r FROM events GROUP BY user_id) SELECT user_id, 'm0' AS reveal_id FROM events JOIN l USING (user_id) WHERE event_type = 'click' AND (r IS NULL OR event_id > r) GROUP BY user_id HAVING count(*) % 2 = 1")
+def reveal_clicks(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "error", "reset").when(F.col("event_type") == "click", "click").otherwise("other")
+    log = read(spark, sf_dir, "events").select("user_id", F.lit("m0").alias("reveal_id"), kind.alias("kind"), F.col("event_id").alias("seq"))
+    return views.revealed(log, "user_id")
+
+
 # relational
 
 

@@ -12,9 +12,11 @@ overlap needed less what the shingles beyond the prefixes can give. Verification
 Only components are asked for, so a pair already joined through others needs no verification. Candidates are verified in
 two rounds: first each class with its least candidate, then the candidates whose classes are still apart. A shingle
 that more than ``LIGHT`` classes have in their prefix would pair them all, as in a large family of near copies; there the
-first round pairs each class with one hub of its shingle and size, and the second takes the classes by the hub they
-joined. Jaccard distance is a metric: two such families can only hold a link if their hubs are nearer than 0.2 plus
-the distances of the two members from their hubs, and only members within that bound are paired. No link is lost.
+first rounds pair each class with one hub of its shingle and size, another hub each time while components meet there.
+What is left is taken by the hub it joined, a family or a single class, and families must share as many heavy prefix
+shingles as their members' sizes require. Jaccard distance is a metric: two families can only hold a link if their hubs
+are nearer than 0.2 plus the distances of the two members from their hubs, and only members within that bound are paired.
+No link is lost.
 
 Scale: texts are read three times in narrow maps (the last after a semi join on ids); what moves is the prefixes, about a
 fifth of the shingles at 24 bytes, and the sets of classes that have candidates. The table of frequent shingles, which
@@ -45,6 +47,7 @@ FREQUENT = 65_536
 SUMMARY = 8_192
 LEAST_FREQUENT = 32
 _TALLY = 300_000
+HUB_ROUNDS = 3
 
 
 @lru_cache(maxsize=1)
@@ -252,25 +255,38 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.where(F.coalesce("_la", "a") != F.coalesce("_lb", "b")).drop("_la", "_lb")
 
 
-def _families(posts: DataFrame, first: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of heavy shingles' classes that the first round left open, by the metric's bound."""
-    linked = first.where("link")
+def _hubs(posts: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each class of a heavy shingle whose prefix classes are not all in one component, with the shingle's hub.
+
+    Hubs are of the class's size band, the least by a hash that changes with the turn; pairs of one component are left out.
+    """
+    rows = posts.where("heavy").select("token", "cls", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).alias("band"))
+    rows = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    place = F.xxhash64(F.col("cls"), F.lit(turn))
+    hub = rows.groupBy("token", "band").agg(F.min(F.struct(place.alias("place"), "cls", "label")).alias("hub"), F.min("label").alias("x"), F.max("label").alias("y"))
+    hub = hub.where("x <> y").select("token", "band", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label"))
+    met = rows.join(hub, ["token", "band"]).where("label <> hub_label")
+    return met.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"), "hub").distinct()
+
+
+def _families(posts: DataFrame, linked: DataFrame, hubs: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs of heavy shingles' classes that the rounds left open, by shared shingles and the metric's bound."""
     near = linked.select(F.col("b").alias("cls"), F.col("a").alias("hub"), "similarity").unionByName(linked.select(F.col("a").alias("cls"), F.col("b").alias("hub"), "similarity"))
-    hubs = posts.where("heavy").select(F.col("hub").alias("cls")).distinct()
     near = near.join(hubs.withColumnRenamed("cls", "hub"), "hub", "left_semi")
     best = near.groupBy("cls").agg(F.max(F.struct("similarity", "hub")).alias("m")).select("cls", F.col("m.hub").alias("anchor"), (1 - F.col("m.similarity")).alias("off"))
     best = best.join(hubs, "cls", "left_anti")  # hubs stand for themselves
-    rows = posts.where("heavy").select("token", "cls", "n").join(best, "cls", "left")
-    rows = rows.select("token", "cls", "n", F.coalesce("anchor", "cls").alias("anchor"), F.coalesce("off", F.lit(0.0)).alias("off"))
+    rows = posts.where("heavy").select("token", "cls", "n", (F.col("n") - F.col("len")).alias("rest")).join(best, "cls", "left")
+    rows = rows.select("token", "cls", "n", "rest", F.coalesce("anchor", "cls").alias("anchor"), F.coalesce("off", F.lit(0.0)).alias("off"))
     rows = stored(rows, "members")
-    groups = rows.groupBy("token", "anchor").agg(F.max("off").alias("off"), F.min("n").alias("low"), F.max("n").alias("high"))
-    groups = stored(groups.join(labels.select(F.col("node").alias("anchor"), "label"), "anchor", "left").select("token", "anchor", "off", "low", "high", F.coalesce("label", "anchor").alias("label")), "anchors")
+    groups = rows.groupBy("token", "anchor").agg(F.max("off").alias("off"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
+    groups = stored(groups.join(labels.select(F.col("node").alias("anchor"), "label"), "anchor", "left").withColumn("label", F.coalesce("label", "anchor")), "anchors")
     several = groups.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
     groups = groups.join(several, "token", "left_semi")
-    side = lambda s, o: groups.select("token", F.col("anchor").alias(s), F.col("off").alias(f"off_{o}"), F.col("label").alias(f"label_{o}"), F.col("low").alias(f"low_{o}"), F.col("high").alias(f"high_{o}"))
-    pairs = side("a", "a").join(side("b", "b"), "token").where("a < b AND label_a <> label_b AND 5 * high_a >= 4 * low_b AND 5 * high_b >= 4 * low_a")
-    pairs = pairs.groupBy("a", "b").agg(F.max(F.col("off_a") + F.col("off_b")).alias("reach"))
-    pairs = stored(pairs, "anchor-pairs")
+    side = lambda o: groups.select("token", F.col("anchor").alias(o), *(F.col(c).alias(f"{c}_{o}") for c in ("off", "label", "low", "high", "rest")))
+    pairs = side("a").join(side("b"), "token").where("a < b AND label_a <> label_b AND 5 * high_a >= 4 * low_b AND 5 * high_b >= 4 * low_a")
+    pairs = pairs.groupBy("a", "b").agg(F.max(F.col("off_a") + F.col("off_b")).alias("reach"), F.count(F.lit(1)).alias("shared"), F.min(F.col("low_a") + F.col("low_b")).alias("low"), F.max(F.greatest("rest_a", "rest_b")).alias("rest"))
+    # members without a light shingle in common share heavy ones only, no more of them than their families do
+    pairs = stored(pairs.where(F.col("shared") >= F.ceil(F.col("low") * 4 / 9) - F.col("rest")), "anchor-pairs")
     apart = _verify(pairs.select("a", "b"), sets).join(pairs, ["a", "b"]).where(1 - F.col("similarity") <= 0.2 + F.col("reach") + 1e-9)
     apart = apart.select(F.col("a").alias("anchor_a"), F.col("b").alias("anchor_b"), (1 - F.col("similarity")).alias("gap"))
     member = lambda o: rows.select("token", F.col("cls").alias(o), F.col("n").alias(f"n{o}"), F.col("anchor").alias(f"anchor_{o}"), F.col("off").alias(f"off_{o}"))
@@ -290,29 +306,32 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 
 
 def _joined(docs: DataFrame, text: str, key: str) -> tuple[int, DataFrame]:
+    spark = docs.sparkSession
     seed, rows, frequent = describe(docs, text, key)
     frequent = stored(frequent, "frequent")
     met = stored(_met(_postings(docs, text, seed, frequent), frequent), "met")
-    posts = _adapted(met)
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)))
-    star = posts.where("heavy").withColumn("band", band)
-    hub = star.groupBy("token", "band").agg(F.min("cls").alias("hub"))
-    star = star.join(hub, ["token", "band"]).drop("band")
-    posts = stored(posts.where("NOT heavy").withColumn("hub", F.lit(None).cast("long")).unionByName(star), "posts")
+    posts = stored(_adapted(met), "posts")
     light = stored(_candidates(posts), "candidates")
-    hubs = posts.where("heavy AND cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"))
     involved = light.select(F.col("a").alias("cls")).unionByName(light.select(F.col("b").alias("cls"))).unionByName(posts.where("heavy").select("cls")).distinct()
     sets = stored(_sets(docs, text, key, seed, classes.join(involved, "cls", "left_semi").select("key").distinct()), "sets")
 
     least = light.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    first = stored(_verify(least.unionByName(hubs).distinct(), sets), "verified")
-    labels = components(first.where("link"))
-    more = _apart(light.join(first, ["a", "b"], "left_anti"), labels)
-    more = more.unionByName(_apart(_families(posts, first, labels, sets), labels)).distinct()
-    second = stored(_verify(more, sets), "verified")
-    links = first.where("link").select("a", "b").unionByName(second.where("link").select("a", "b"))
-    labels = components(links)
+    nobody = labels = spark.createDataFrame([], "node long, label long")
+    hubs = nobody.select(F.col("node").alias("cls"))
+    done = None
+    for turn in range(HUB_ROUNDS):
+        star = stored(_hubs(posts, labels, turn), "star")
+        hubs = stored(hubs.unionByName(star.select(F.col("hub").alias("cls"))).distinct(), "hubs")
+        pairs = star.select("a", "b") if done is not None else star.select("a", "b").unionByName(least)
+        pairs = pairs.distinct() if done is None else pairs.distinct().join(done, ["a", "b"], "left_anti")
+        found = stored(_verify(pairs, sets), "verified")
+        done = found if done is None else done.unionByName(found)
+        labels = components(done.where("link"))
+    more = _apart(light.join(done, ["a", "b"], "left_anti"), labels)
+    more = more.unionByName(_apart(_families(posts, done.where("link"), hubs, labels, sets), labels)).distinct()
+    second = stored(_verify(more.join(done, ["a", "b"], "left_anti"), sets), "verified")
+    labels = components(done.where("link").select("a", "b").unionByName(second.where("link").select("a", "b")))
 
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "key", F.coalesce("label", "cls").alias("label"))
     named = stored(named, "classes")

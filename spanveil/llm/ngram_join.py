@@ -173,13 +173,15 @@ def _postings(docs: DataFrame, text: str, seed: int, frequent: DataFrame) -> Dat
     return docs.select(F.col(f"`{text}`")).mapInArrow(run, "token long, cls long, n int, pos int, often boolean")
 
 
-def _met(postings: DataFrame, frequent: DataFrame) -> DataFrame:
+def _met(postings: DataFrame) -> DataFrame:
     """Postings whose shingle two classes or more have in their prefix, with ``df`` and whether it is ``heavy``."""
     rare = postings.where("NOT often").repartition("token").dropDuplicates(["token", "cls"])
     rare = rare.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
-    often = postings.where("often").dropDuplicates(["token", "cls"]).join(F.broadcast(frequent.withColumnRenamed("times", "df")), "token")
+    often = postings.where("often").dropDuplicates(["token", "cls"])
+    met = often.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # of the FREQUENT shingles at most
+    often = often.join(F.broadcast(met), "token").where("df > 1")
     cols = ["token", "cls", "n", "pos", "df"]
-    return rare.select(*cols, (F.col("df") > LIGHT).alias("heavy")).unionByName(often.select(*cols, F.lit(True).alias("heavy")))
+    return rare.select(*cols).unionByName(often.select(*cols)).withColumn("heavy", F.col("df") > LIGHT)
 
 
 def _adapted(met: DataFrame) -> DataFrame:
@@ -199,16 +201,16 @@ def _adapted(met: DataFrame) -> DataFrame:
 
 def _candidates(posts: DataFrame) -> DataFrame:
     """(a, b), a < b: classes that share a light prefix shingle and enough prefix shingles in all."""
-    light = posts.where("NOT heavy")
-    left = light.select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("len").alias("la"))
-    right = light.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("len").alias("lb"))
-    pairs = left.join(right, "token").where("a < b AND 5 * least(na, nb) >= 4 * greatest(na, nb)")
-    pairs = pairs.groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count(F.lit(1)).alias("shared"))
     heavy = posts.where("heavy").groupBy("cls").agg(F.collect_list("token").alias("often"))  # at most a prefix
-    pairs = pairs.join(heavy.select(F.col("cls").alias("a"), F.col("often").alias("oa")), "a", "left").join(heavy.select(F.col("cls").alias("b"), F.col("often").alias("ob")), "b", "left")
-    both = F.col("shared") + F.coalesce(F.size(F.array_intersect("oa", "ob")), F.lit(0))
+    light = posts.where("NOT heavy").join(heavy.select("cls", F.size("often").alias("h")), "cls", "left").withColumn("h", F.coalesce("h", F.lit(0)))
+    side = lambda o: light.select("token", F.col("cls").alias(o), *(F.col(c).alias(f"{x}{o}") for c, x in (("n", "n"), ("len", "l"), ("h", "h"))))
+    pairs = side("a").join(side("b"), "token").where("a < b AND 5 * least(na, nb) >= 4 * greatest(na, nb)")
+    pairs = pairs.groupBy("a", "b", "na", "nb", "la", "lb", "ha", "hb").agg(F.count(F.lit(1)).alias("shared"))
     # what is not in both prefixes lies beyond the one that ends first in the global order
     wanted = F.ceil((F.col("na") + F.col("nb")) * 4 / 9) - F.greatest(F.col("na") - F.col("la"), F.col("nb") - F.col("lb"))
+    pairs = pairs.where(F.col("shared") + F.least("ha", "hb") >= wanted)
+    pairs = pairs.join(heavy.select(F.col("cls").alias("a"), F.col("often").alias("oa")), "a", "left").join(heavy.select(F.col("cls").alias("b"), F.col("often").alias("ob")), "b", "left")
+    both = F.col("shared") + F.coalesce(F.size(F.array_intersect("oa", "ob")), F.lit(0))
     return pairs.where(both >= wanted).select("a", "b")
 
 
@@ -256,7 +258,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _hubs(posts: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each class of a heavy shingle whose prefix classes are not all in one component, with the shingle's hub.
+    """(a, b, hub): each class of heavy shingles whose classes are not all in one component, with one of their hubs.
 
     Hubs are of the class's size band, the least by a hash that changes with the turn; pairs of one component are left out.
     """
@@ -265,7 +267,9 @@ def _hubs(posts: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     place = F.xxhash64(F.col("cls"), F.lit(turn))
     hub = rows.groupBy("token", "band").agg(F.min(F.struct(place.alias("place"), "cls", "label")).alias("hub"), F.min("label").alias("x"), F.max("label").alias("y"))
     hub = hub.where("x <> y").select("token", "band", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label"))
-    met = rows.join(hub, ["token", "band"]).where("label <> hub_label")
+    met = rows.join(hub, ["token", "band"]).where("label <> hub_label").groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("shared"))
+    # of the hubs that a class meets, the one with which it shares most
+    met = met.groupBy("cls").agg(F.max(F.struct("shared", "hub")).alias("m")).select("cls", F.col("m.hub").alias("hub"))
     return met.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"), "hub").distinct()
 
 
@@ -309,7 +313,7 @@ def _joined(docs: DataFrame, text: str, key: str) -> tuple[int, DataFrame]:
     spark = docs.sparkSession
     seed, rows, frequent = describe(docs, text, key)
     frequent = stored(frequent, "frequent")
-    met = stored(_met(_postings(docs, text, seed, frequent), frequent), "met")
+    met = stored(_met(_postings(docs, text, seed, frequent)), "met")
     posts = stored(_adapted(met), "posts")
     light = stored(_candidates(posts), "candidates")
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"))

@@ -48,6 +48,7 @@ SUMMARY = 8_192
 LEAST_FREQUENT = 32
 _TALLY = 300_000
 HUB_ROUNDS = 3
+ROWS = 1_000
 
 
 @lru_cache(maxsize=1)
@@ -72,6 +73,13 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(h)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``ROWS`` rows at most, so that the sets of a few texts are held at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _class(s: np.ndarray, seed: int) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes(), seed)
 
@@ -89,7 +97,7 @@ def _describe(docs: DataFrame, text: str, key: str, seed: int) -> DataFrame:
         tokens, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         none = lambda n: pa.nulls(n, pa.int64())
         names, last = ["key", "n", "cls", "proof", "token", "times"], None
-        for batch in batches:
+        for batch in _slices(batches):
             keys, sets = batch.column(0), [shingles(t) for t in batch.column(1).to_pylist()]
             last = keys.type
             if sets:
@@ -142,7 +150,7 @@ def _postings(docs: DataFrame, text: str, seed: int, frequent: DataFrame) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, times = shared.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             tokens, cls, n, pos, often = [], [], [], [], []
             for t in batch.column(0).to_pylist():
                 s = shingles(t)

@@ -116,3 +116,12 @@ def test_query_equals_brute_force_on_a_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted((tuple(r) for r in queries.op1_ngram_join(spark, sf).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_sql_equals_brute_force():
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.01/documents.parquet')")
+    rows = con.sql("SELECT doc_id, text FROM documents").fetchall()
+    assert sorted(con.sql(ngram_join.ORACLE).fetchall(), key=str) == brute(rows)

@@ -6,11 +6,13 @@ probability is that of the class by that of the output within it. A word outside
 probability by its share of the bucket's smoothed counts, so that all words, seen or not, have one proper distribution.
 
 Counts are of all training texts: each task counts its words in a bounded table, and words meet in one aggregation. The
-recurrent weights are trained in numpy, by backpropagation cut at windows of ``WINDOW`` steps, on a bounded sample of
-``SAMPLE`` training texts, chosen by a hash of the id. Texts are scored whole: they are dealt to lanes that run side by
+recurrent weights are trained in numpy, by backpropagation cut at windows of ``WINDOW`` steps, on all training texts.
+They start from ``UPDATES`` steps on a sample of ``SAMPLE`` texts; then each training text belongs to one of ``ROUNDS``
+rounds by a hash. In a round every task goes on from the same weights over each token of its texts, and the weights of
+all tasks are averaged by their tokens, so updates grow with the input. Texts are scored whole: they are dealt to lanes that run side by
 side, a window at a time, and each lane carries its state from window to window to the end of its text.
 
-Scale: the counts of the ``FREQUENT`` most frequent words are broadcast (under 8 MB); rarer words leave the texts as (row,
+Scale: weights are summed in ``CHUNKS`` parts where they meet, and the driver takes one model a round. The counts of the ``FREQUENT`` most frequent words are broadcast (under 8 MB); rarer words leave the texts as (row,
 word, times), join the counts by word and come back as one sum for each row.
 """
 
@@ -18,12 +20,13 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +40,11 @@ HIDDEN = 32
 WINDOW = 32
 SAMPLE = 2_000
 UPDATES = 400
+ROUNDS = 4
+CHUNKS = 32
+RATE = 0.02  # of the first round; the last has a quarter
+TRAINED = 64  # lanes of training
+BUFFER = 262_144  # tokens that a training task gathers before it deals them to lanes
 LANES = 256
 FREQUENT = 131_072
 LONGEST = 48  # bytes of a word in the broadcast table
@@ -132,6 +140,7 @@ class GRU:
                 dflat[at] += po @ self.wo[c].T
         dflat = dflat.reshape(steps, lanes, n)
         du, dwx, dh = np.zeros_like(self.u), np.zeros_like(self.wx), np.zeros((lanes, n), np.float32)
+        inputs = np.empty((steps, lanes, 3 * n), flat.dtype)
         for t in range(steps - 1, -1, -1):
             before, z, r, cand, gn = kept[t]
             dh = dh + dflat[t]
@@ -141,9 +150,12 @@ class GRU:
             da = np.concatenate([dz, dr, dn], 1)
             dg = np.concatenate([dz, dr, dn * r], 1)
             du += before.T @ dg
-            np.add.at(dwx, x[t], da)
+            inputs[t] = da
             dh = dh * z + dg @ self.u.T
             dh[fresh[t]] = 0
+        order = np.argsort(x, axis=None, kind="stable")
+        seen, first = np.unique(x.ravel()[order], return_index=True)
+        dwx[seen] = np.add.reduceat(inputs.reshape(-1, 3 * n)[order], first, axis=0)
         size = np.float32(len(target))
         return float(loss.mean()), [g / size for g in (dwx, du, dwc, dbc, dwo, dbo)], h
 
@@ -153,6 +165,24 @@ def _lse(x: np.ndarray) -> np.ndarray:
     return m + np.log(np.exp(x - m[:, None]).sum(1))
 
 
+class Adam:
+    """Steps down clipped gradients, with running means of them and of their squares."""
+
+    def __init__(self, gru: GRU):
+        self.gru, self.t = gru, 0
+        self.m, self.v = [np.zeros_like(p) for p in gru.parts()], [np.zeros_like(p) for p in gru.parts()]
+
+    def step(self, grads: list[np.ndarray], rate: float) -> None:
+        self.t += 1
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
+        scale = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+        for p, g, a, b in zip(self.gru.parts(), grads, self.m, self.v, strict=True):
+            g = g * scale
+            a += np.float32(0.1) * (g - a)
+            b += np.float32(0.01) * (g * g - b)
+            p -= np.float32(rate) * (a / np.float32(1 - 0.9**self.t)) / (np.sqrt(b / np.float32(1 - 0.99**self.t)) + np.float32(1e-8))
+
+
 def train(texts: list[np.ndarray], counts: np.ndarray, updates: int = UPDATES, lanes: int = 64, rate: float = 0.02, seed: int = 3) -> GRU:
     """A model from token id lists that end with ``END``: truncated backpropagation with Adam, lanes side by side."""
     gru = GRU.fresh(counts, seed)
@@ -164,25 +194,84 @@ def train(texts: list[np.ndarray], counts: np.ndarray, updates: int = UPDATES, l
     width = max(1, len(run) // lanes)
     run = np.resize(run, lanes * width).reshape(lanes, width).T
     before = np.concatenate([np.full((1, lanes), END, run.dtype), run[:-1]])
-    m, v = [np.zeros_like(p) for p in gru.parts()], [np.zeros_like(p) for p in gru.parts()]
-    h, at = np.zeros((lanes, HIDDEN), np.float32), 0
+    adam, h, at = Adam(gru), np.zeros((lanes, HIDDEN), np.float32), 0
     for t in range(1, updates + 1):
         if at >= width:
             at, h = 0, np.zeros_like(h)
         x, y = before[at : at + WINDOW], run[at : at + WINDOW]
         at += WINDOW
         _, grads, h = gru.gradients(x, y, x == END, h)
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
-        scale = min(1.0, 1.0 / (norm + 1e-9))
-        step = rate * min(1.0, 2 * (1 - t / (updates + 1)))
-        for p, g, a, b in zip(gru.parts(), grads, m, v, strict=True):
-            g = g * np.float32(scale)
-            a += np.float32(0.1) * (g - a)
-            b += np.float32(0.01) * (g * g - b)
-            p -= np.float32(step) * (a / np.float32(1 - 0.9**t)) / (np.sqrt(b / np.float32(1 - 0.99**t)) + np.float32(1e-8))
+        adam.step(grads, rate * min(1.0, 2 * (1 - t / (updates + 1))))
     return gru
 
 
+def train_on(gru: GRU, texts: Iterator[np.ndarray], rate: float, lanes: int = TRAINED) -> int:
+    """Trains ``gru`` on every token of a stream of texts, once, and gives their number.
+
+    Texts are gathered to ``BUFFER`` tokens and cut into lanes of one width; what is over goes before the next texts. A
+    lane that begins within a text sees the token before it, with a fresh state. Steps of fewer tokens are smaller.
+    """
+    adam, total, last = Adam(gru), 0, END
+    kept: list[np.ndarray] = []
+    held = 0
+
+    def go(run: np.ndarray) -> None:
+        nonlocal total, last
+        wide = min(lanes, max(1, len(run) // WINDOW))
+        width = len(run) // wide
+        used = wide * width
+        y = run[:used].reshape(wide, width).T
+        x = np.concatenate([[last], run[: used - 1]]).reshape(wide, width).T
+        h = np.zeros((wide, HIDDEN), np.float32)
+        for at in range(0, width, WINDOW):
+            now = x[at : at + WINDOW]
+            _, grads, h = gru.gradients(now, y[at : at + WINDOW], now == END, h)
+            adam.step(grads, rate * min(1.0, now.size / (lanes * WINDOW)) * min(1.0, (adam.t + 1) / 20))
+        total, last = total + used, int(run[used - 1])
+        kept[:] = [run[used:]] if used < len(run) else []
+
+    for ids in texts:
+        kept.append(ids)
+        held += len(ids)
+        if held >= BUFFER:
+            go(np.concatenate(kept))
+            held = sum(map(len, kept))
+    while kept:
+        go(np.concatenate(kept))
+    return total
+
+
+def train_round(texts: DataFrame, gru: GRU, ids_of: Callable[[str | None], np.ndarray], rate: float) -> tuple[GRU, int]:
+    """One round over the one column of ``texts``: the mean of the tasks' weights by tokens, and the number of tokens."""
+    shared = texts.sparkSession.sparkContext.broadcast(gru)
+    schema = "chunk int, part int, n long, weights binary"
+    names = ["chunk", "part", "n", "weights"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = GRU(*(p.copy() for p in shared.value.parts()))
+        n = train_on(own, (ids_of(t) for b in batches for t in b.column(0).to_pylist()), rate)
+        if n:
+            cut = np.array_split(np.concatenate([p.ravel() for p in own.parts()]), CHUNKS)
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([part] * CHUNKS, pa.int32()), pa.array([n] * CHUNKS, pa.int64()), pa.array([c.tobytes() for c in cut], pa.binary())], names=names)
+
+    def mean(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")  # in one order, so that runs give the same sums
+        n = sum(rows["n"].to_pylist())
+        whole = sum(np.frombuffer(w.as_py(), np.float32) * (c.as_py() / n) for w, c in zip(rows["weights"], rows["n"], strict=True))
+        return pa.table([pa.array([rows["chunk"][0].as_py()], pa.int32()), pa.array([0], pa.int32()), pa.array([n], pa.int64()), pa.array([whole.astype(np.float32).tobytes()], pa.binary())], names=names)
+
+    found = sorted(texts.mapInArrow(run, schema).groupBy("chunk").applyInArrow(mean, schema).collect())
+    shared.unpersist()
+    if not found:
+        return gru, 0
+    flat, out, at = np.concatenate([np.frombuffer(r.weights, np.float32) for r in found]), [], 0
+    for p in gru.parts():
+        out.append(flat[at : at + p.size].reshape(p.shape).copy())
+        at += p.size
+    return GRU(*out), found[0].n
+
+
 def whole_texts(gru: GRU, texts: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
     """Natural log likelihood of each whole text (ids that end with ``END``).
 
@@ -300,6 +389,10 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
     sample = some.select(coded("t").alias("ids")).limit(2 * SAMPLE).toArrow()["ids"]
     gru = train([np.asarray(x.values, np.int64) for x in sample], mass)
+    turn = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")), F.lit(ROUNDS))
+    for k in range(ROUNDS):
+        texts = training.where(turn == k).select(F.col(f"`{text}`"))
+        gru, _ = train_round(texts, gru, lambda t: to_ids(tokens(t), shared_ids.value), RATE * (1 - 0.75 * k / (ROUNDS - 1)))
     shared = spark.sparkContext.broadcast((gru, dict(top)))
     names = ["key", "uid", "held_out", "n_tokens", "known", "freq_log", "model_log", "tail"]
     kind = docs.schema[key].dataType.simpleString()

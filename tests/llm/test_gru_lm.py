@@ -97,3 +97,37 @@ def test_query_on_a_table(spark):
     gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
     print("gain in log10 per held-out token", gain)
     assert gain > 0.1
+
+
+def test_every_token_is_trained_on_once(monkeypatch):
+    monkeypatch.setattr(gru_lm, "BUFFER", 3_000)
+    gru, rng = tiny()
+    texts = [np.append(rng.integers(0, END, n), END) for n in (0, 3, 31, 5_000, 32, 33, 200, 1, 900, 2_500, 17)]
+    seen = Counter()
+    gradients = GRU.gradients
+
+    def spied(self, x, y, fresh, h):
+        seen.update(zip(x.ravel().tolist(), y.ravel().tolist()))
+        return gradients(self, x, y, fresh, h)
+
+    monkeypatch.setattr(GRU, "gradients", spied)
+    run = np.concatenate(texts).tolist()
+    assert gru_lm.train_on(gru, iter(texts), 0.01) == len(run)
+    assert seen == Counter(zip([END, *run], run))
+
+
+def test_weights_learn_from_all_training_texts(spark, monkeypatch):
+    """With a sample of about one text, held-out texts are still scored well, and the rounds take each training token."""
+    monkeypatch.setattr(gru_lm, "SAMPLE", 1)
+    took, one = [], getattr(gru_lm, "train_round", None)
+
+    def spied(*args):
+        gru, n = one(*args)
+        took.append(n)
+        return gru, n
+
+    monkeypatch.setattr(gru_lm, "train_round", spied, raising=False)
+    got = queries.op6_gru_lm(spark, "/root/testdata/sf0.01").collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held) > 0.1
+    assert sum(took) == got[0].train_tokens

@@ -4,8 +4,9 @@ Rules find e-mail addresses, IP numbers, card numbers and phone numbers; their s
 spans that the rules miss, such as spelt-out addresses, phone numbers without a plus or card numbers with other
 separators. It scores whole candidate segments of at most ``MOST_TOKENS`` tokens by features of the segment (its shape,
 digit count, separators, length, the words around it) and a table of label transitions; dynamic programming over
-segmentations with that bound chooses boundaries and types jointly. Only stretches near two digits, an at sign or a spelt-out
-dot can hold a segment, so all else is background and costs one regular expression.
+segmentations with that bound chooses boundaries and types jointly. A segment holds a digit, an at sign or the word "at", so
+only the tokens around those are decoded, and the result is that of decoding the whole text; all else costs one regular
+expression.
 
 The weights are trained by maximum likelihood, with forward and backward sums over segmentations, on sentences made from
 a fixed grammar of spans in neutral words. No row of the input is learnt from.
@@ -17,6 +18,7 @@ import hashlib
 import random
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from spanveil.llm.common import Cache, arrow_map
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 16
-NEAR = 64  # characters around a hint that are decoded with it
+CONTEXT = 6  # tokens before a segment that its features look at
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -83,8 +85,13 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 _ANY_DIGIT = re.compile("[0-9]").search
-_HINT = re.compile(r"[0-9]{2}|@|[(\[]at[)\]]|\bdot\b", re.I)
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
+#: Digits that are single tokens, or parts of a token of letters, beside 0-9.
+_MORE_DIGITS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isdigit())
+#: What every segment that ``_possible`` admits holds: a digit, an at sign, or "at" as a whole token of letters.
+_HINT = re.compile(rf"[0-9{_MORE_DIGITS}]|@|(?<![^\W\d_])at(?![^\W\d_])", re.I)
+#: Last words of host names.
+_ENDS = frozenset(("com", "org", "net", "example", "edu", "gov", "io", "info", "de", "fr", "es", "it", "uk", "eu"))
 #: Words that stand near personal data.
 _CUES = {"mail": 1, "email": 1, "e": 1, "contact": 1, "write": 1, "ip": 2, "host": 2, "server": 2, "address": 2, "card": 3, "visa": 3, "payment": 3, "credit": 3, "call": 4, "phone": 4, "tel": 4, "mobile": 4, "dial": 4}
 _O = len(KINDS)  # the background label
@@ -101,13 +108,17 @@ def _features(tokens: list[str], i: int, j: int) -> list[str]:
     out = ["bias", f"digits={len(digits)}", f"groups={len(groups)}", f"first={'d' if text[0].isdigit() else 'a' if text[0].isalpha() else text[0]}", f"last={'d' if text[-1].isdigit() else 'a' if text[-1].isalpha() else text[-1]}"]
     out += [f"seps={seps[:6]}", f"lens={','.join(str(len(g)) for g in groups[:6])}", f"alldigits={len(digits) == sum(c.isalnum() for c in text)}", f"shape={shape[:24]}"]
     out.append(f"at={'@' in text or '(at)' in text.lower() or '[at]' in text.lower()}/{'at' in words}/{'dot' in words or '.' in text}")
+    if tokens[i].lower() == "at":
+        out.append("starts=at")
+    if words and words[-1] in _ENDS and tokens[j - 1].isalpha():
+        out.append(f"end={tokens[j - 2] == '.'}")
     if len(groups) == 4:
         out.append(f"bytes={all(len(g) <= 3 and int(g) <= 255 for g in groups)}")
     if 13 <= len(digits) <= 19:
         out.append(f"luhn={luhn(digits)}")
     if i and tokens[i - 1].isalnum() or j < len(tokens) and tokens[j].isalnum():
         out.append("glued")
-    before = [t.lower() for t in tokens[max(0, i - 6) : i] if t.isalpha()][-2:]
+    before = [t.lower() for t in tokens[max(0, i - CONTEXT) : i] if t.isalpha()][-2:]
     out += [f"cue={_CUES[w]}" for w in before if w in _CUES]
     return out
 
@@ -134,7 +145,7 @@ class SemiCRF:
         self.weights: dict[tuple[int, str], float] = {}
         self.moves = np.zeros((_O + 1, _O + 1))
         #: Entities of a stretch of text, memoised: passages that many documents share come again and again.
-        self.decoded = Cache(lambda piece: self.decode(tokenize(piece)), 20_000)
+        self.decoded = Cache(lambda piece: self.decode(t) if _promising(t := tokenize(piece)) else [], 20_000)
 
     def __reduce__(self):
         return _restored, (self.weights, self.moves)
@@ -248,8 +259,6 @@ def _sentence(rnd: random.Random) -> tuple[list[str], list[tuple[int, int, int]]
     def email() -> str:
         dot = rnd.choice([" dot ", " DOT ", "."])
         at = rnd.choice([" at ", " AT ", " (at) ", "(at)", " [at] ", "[at]", " @ "])
-        if dot == "." and at.strip().lower() == "at":
-            dot = " dot "
         local = rnd.choice([word(), f"{word()}{num(2)}", f"{word()}.{word()}", f"{word()}_{word()}", f"{word()[0]}.{word()}"])
         return f"{local}{at}{word()}{dot}{rnd.choice(['com', 'org', 'net', 'example'])}"
 
@@ -261,7 +270,7 @@ def _sentence(rnd: random.Random) -> tuple[list[str], list[tuple[int, int, int]]
         return rnd.choice(["[.]", "(.)", " . "]).join(p)
 
     def none() -> str:
-        return rnd.choice([f"{num(4)}-{num(2)}-{num(2)}", num(5), f"{num(2)}.{num(2)}", f"{num(1)}.{num(3)}.{num(3)}", f"{num(2)}:{num(2)}:{num(2)}", f"{num(4)} {num(4)}", num(8), f"{word()} at {word()}. {word()}", f"the dot at {word()}", f"{word()} dot {word()}", f"{word()} at the {word()} dot", "".join(rnd.choice("0123456789abcdef") for _ in range(32)), f"{word()}{num(7)}{word()}", f"{num(4)}/{num(4)}", num(16), f"v{num(1)}.{num(2)}.{num(1)}", f"{num(3)} {num(5)} {num(2)}"])
+        return rnd.choice([f"{num(4)}-{num(2)}-{num(2)}", num(5), f"{num(2)}.{num(2)}", f"{num(1)}.{num(3)}.{num(3)}", f"{num(2)}:{num(2)}:{num(2)}", f"{num(4)} {num(4)}", num(8), f"{word()} at {word()}. {word()}", f"{word()} at {word()}.{word()}", f"the dot at {word()}", f"{word()} dot {word()}", f"{word()} at the {word()} dot", "".join(rnd.choice("0123456789abcdef") for _ in range(32)), f"{word()}{num(7)}{word()}", f"{num(4)}/{num(4)}", num(16), f"v{num(1)}.{num(2)}.{num(1)}", f"{num(3)} {num(5)} {num(2)}"])
 
     tokens: list[str] = []
     gold = []
@@ -289,18 +298,59 @@ def model(rounds: int = 2500, seed: int = 11) -> SemiCRF:
     return crf
 
 
+def _around(text: str, start: int, end: int) -> tuple[int, int]:
+    """``start`` and ``end`` moved out to token borders, past every segment that holds what is between and its context."""
+    back, forth = MOST_TOKENS + CONTEXT, MOST_TOKENS + 1
+    # tokens are runs of one class of characters, so they are the same from right to left
+    reach = 256
+    while True:
+        ends = [m.end() for m in islice(_TOKEN.finditer(text[max(0, start - reach) : start][::-1]), back + 2)]
+        if len(ends) == back + 2 or reach >= start:
+            break
+        reach *= 4
+    a = start - ends[back] if len(ends) == back + 2 else 0
+    b = end
+    for m in islice(_TOKEN.finditer(text, end), forth + 1):
+        b = m.end()
+    return a, b
+
+
 def _windows(text: str) -> list[tuple[int, int]]:
-    """Stretches within ``NEAR`` characters of a hint, merged and widened to white space."""
+    """Stretches, at token borders, that hold every possible segment with its context, merged where they meet."""
     out: list[list[int]] = []
+    hints: list[list[int]] = []
     for m in _HINT.finditer(text):
-        a, b = max(0, m.start() - NEAR), min(len(text), m.end() + NEAR)
+        if hints and m.start() - hints[-1][1] <= MOST_TOKENS:  # no more tokens than characters
+            hints[-1][1] = m.end()
+        else:
+            hints.append([m.start(), m.end()])
+    for start, end in hints:
+        a, b = _around(text, start, end)
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(b, out[-1][1])
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
 
 
+def _promising(tokens: list[str]) -> bool:
+    """Whether any segment can be possible: four digits without letters or line ends between, or signs of an address."""
+    digits, at, dot = 0, False, False
+    for t in tokens:
+        if t.isalpha():
+            digits, word = 0, t.lower()
+            at, dot = at or word == "at", dot or word == "dot"
+        elif t.isdigit():
+            digits += len(t)
+            if digits >= 4:
+                return True
+        elif "\n" in t:
+            digits = 0
+        else:
+            at, dot = at or t == "@", dot or t == "."
+    return at and dot
+
+
 def added_spans(text: str, crf: SemiCRF) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the field's entities."""
     found = []

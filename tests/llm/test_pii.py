@@ -124,3 +124,28 @@ def test_scan(spark, extra):
 def test_query_columns(spark, tmp_path):
     awkward(spark).write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op2_pii(spark, str(tmp_path)).columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+
+
+@pytest.mark.parametrize("text,span", [("ask 8[.]8[.]8[.]8 there", ("ip", "8[.]8[.]8[.]8")), ("host 1 . 1 . 1 . 1 now", ("ip", "1 . 1 . 1 . 1")), ("mail jane at example.com today", ("email", "jane at example.com"))])
+@pytest.mark.parametrize("far", [0, 40])
+def test_spans_without_two_digits_or_signs(text, span, far):
+    text = "some words " * far + text + " other words" * far
+    _, spans = pii.find(text, pii.model())
+    assert [(k, text[s:e]) for k, s, e in spans] == [span]
+
+
+def test_at_in_prose_is_no_address():
+    assert pii.find("They met at noon. Then she looked at home.Then they left at once", pii.model())[1] == []
+
+
+FIELD = st.sampled_from(["8[.]8[.]8[.]8", "jane at example.com", "at", "At", " dot ", ".", "@", "1", "22", "(555) 123-4567", "²", "x²", "٣", "é", "_", "\n", " ", "   ", " word", " word" * 9, " " * 300, "a" * 70, "- " * 20, "(at)", "4111/1111/1111/1111"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(FIELD, max_size=14).map("".join))
+def test_stretches_give_what_the_whole_text_gives(text):
+    crf, tokens = pii.model(), pii.tokenize(text)
+    offsets = [0]
+    for t in tokens:
+        offsets.append(offsets[-1] + len(t))
+    assert pii.added_spans(text, crf) == [(k, offsets[i], offsets[j]) for i, j, k in crf.decode(tokens)]

@@ -72,3 +72,14 @@ def test_native(spark, tmp_path):
 def test_catalog_is_bounded(spark):
     with pytest.raises(ValueError, match="in parts"):
         ls.scan(awkward(spark), {"x": " ".join(f"w{i}" for i in range(60_000))})
+
+
+def test_cut_notices_are_not_whole(spark):
+    isc, gpl = ls.TEMPLATES["ISC"], ls.TEMPLATES["GPL-3.0-notice"]
+    rows = [(1, isc[: isc.index(" IN NO EVENT SHALL THE AUTHOR BE LIABLE")]), (2, gpl[: gpl.index(" You should have received a copy")])]
+    got = ls.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.containment < 1 for r in got) and not any(r.doc_id == 1 for r in got)
+
+
+def test_common_licences_are_in_the_catalog():
+    assert {"BSD-2-Clause", "BSD-3-Clause", "LGPL-3.0-notice", "AGPL-3.0-notice", "Unlicense"} <= set(ls.TEMPLATES)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from spanveil.llm.common import Cache, arrow_map
-from spanveil.llm.pretokens import pieces
+from spanveil.llm.pretokens import OTHER, STAND_INS, pieces
 
 PIECE_CACHE = 200_000
 PAIR_CACHE = 300_000
@@ -120,22 +120,25 @@ class ByteBPE:
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        split = pieces(text)
-        if split is None:
-            return self._library().encode_ordinary(text)
+        split = pieces(text, _stand_in)
         return list(chain.from_iterable(map(self.ids_of.__getitem__, split)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
-    def _library(self):
-        """The reference library, for texts whose characters' classes depend on the Unicode version."""
-        if not hasattr(self, "_own"):
-            import public_tokenizers
-            import tiktoken
 
-            self._own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
-        return self._own
+@lru_cache(maxsize=1)
+def _classes() -> list:
+    """Encodings of the reference library that leave out all but one class of characters."""
+    import tiktoken
+
+    return [(tiktoken.Encoding("class", pat_str=p, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={}), x) for p, x in STAND_INS.items()]
+
+
+@lru_cache(maxsize=65536)
+def _stand_in(char: str) -> str:
+    """A character of the class that the reference library gives ``char``; the library splits, it encodes nothing."""
+    return next((x for own, x in _classes() if own.encode_ordinary(char)), OTHER)
 
 
 @lru_cache(maxsize=2)

@@ -1,14 +1,16 @@
 """Splitting text into the pieces that byte-level BPE merges within.
 
 The pattern is that of the rank files. Three routes give the same pieces: the standard library's matcher with spelt
-out classes for texts in the Latin blocks, the ``regex`` module for all other assigned characters, and None (the
-caller asks the tokenizer library itself) where a text holds code points on whose class Unicode versions disagree.
+out classes for texts in the Latin blocks, the ``regex`` module for all other assigned characters, and, where a text
+holds code points on whose class Unicode versions disagree, the same on a copy in which each of them is replaced by a
+character of the class that the caller's tokenizer library gives it.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import regex
@@ -41,11 +43,23 @@ def _settled(char: str) -> bool:
     return unicodedata.category(char) != "Cn" and regex.match(r"\p{L}", char) is not None if unicodedata.category(char)[0] == "L" else unicodedata.category(char) != "Cn" and regex.match(r"\p{L}", char) is None
 
 
-def pieces(text: str) -> list[str] | None:
-    """The pieces in order; None if the classes of its characters are not settled."""
+#: Of each class of the pattern, what stands in for its characters: none is in a spelt-out alternative.
+STAND_INS = {r"\p{L}": "\u0101", r"\p{N}": "0", r"\s": "\u2003"}
+OTHER = "*"
+
+
+def pieces(text: str, stand_in: Callable[[str], str] | None = None) -> list[str] | None:
+    """The pieces in order; None if the classes of its characters are not settled and no ``stand_in`` settles them."""
     latin, beyond, wide = _matchers()
     if beyond(text) is None:
         return latin(text)
     if all(map(_settled, {c for c in text if ord(c) > LATIN_END})):
         return wide(text)
-    return None
+    if stand_in is None:
+        return None
+    unsettled = {ord(c): stand_in(c) for c in set(text) if ord(c) > LATIN_END and not _settled(c)}
+    out, at = [], 0
+    for piece in wide(text.translate(unsettled)):
+        out.append(text[at : at + len(piece)])
+        at += len(piece)
+    return out

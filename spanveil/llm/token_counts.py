@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.llm.common import Cache, arrow_map
-from spanveil.llm.pretokens import pieces
+from spanveil.llm.pretokens import OTHER, STAND_INS, pieces
 
 FREQUENT = 32_768
 SUMMARY = 8_192
@@ -40,6 +40,15 @@ def _specials(path: str) -> tuple[str, ...]:
     return tuple(x.content for x in _library(path).get_added_tokens_decoder().values())
 
 
+@lru_cache(maxsize=65536)
+def _stand_in(char: str) -> str:
+    """A character of the class that the library's patterns give ``char``."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    return next((x for p, x in STAND_INS.items() if not Split(Regex(p), "removed").pre_tokenize_str(char)), OTHER)
+
+
 def _length(path: str, text: str) -> int:
     return len(_library(path).encode(text, add_special_tokens=False).ids)
 
@@ -68,7 +77,7 @@ def frequent_pretokens(docs: DataFrame, path: str, text: str = "text") -> DataFr
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 for part in _parts(t, specials)[0] if t else ():
-                    seen.update(pieces(part) or ())
+                    seen.update(pieces(part, _stand_in))
                 if len(seen) > _COUNTING:
                     seen = Counter(dict(seen.most_common(_COUNTING // 2)))
         top = [(w, n) for w, n in seen.most_common(SUMMARY) if len(w) <= LONGEST]
@@ -109,10 +118,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
             n_bytes.append(len(t.encode()))
             parts, n = _parts(t, specials)
             for part in parts:
-                split = pieces(part)
-                if split is None:
-                    n += _length(path, part)
-                    continue
+                split = pieces(part, _stand_in)
                 found = list(map(first.get, split))
                 if None in found:
                     n += sum(f if f is not None else cache[p] for f, p in zip(found, split, strict=True))

@@ -78,3 +78,25 @@ def test_queries_on_a_table(spark, tmp_path):
     awkward(spark).write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op8_byte_bpe(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert queries.op9_token_counts(spark, str(tmp_path)).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+
+
+UNSETTLED = "it's \uffff 12\u0378 a\U0001ecff b \u2fe0\u2fe0 \U0003fffd'll \U00031350x y\U00010d40 5"
+
+
+@pytest.mark.parametrize("text", [UNSETTLED, "\uffff", " \uffff's", UNSETTLED * 50])
+def test_unsettled_characters_are_encoded_by_the_operator(text, monkeypatch):
+    want, length = TIK.encode_ordinary(text), len(LIB.encode(text, add_special_tokens=False).ids)
+    split = byte_bpe.pieces(text, byte_bpe._stand_in)
+    assert "".join(split) == text and [i for p in split for i in BPE.ids_of[p]] == want
+    encode = tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, t: encode(self, t) if len(t) == 1 and self.name == "class" else pytest.fail("whole text"))
+    assert BPE.encode(text) == want
+    split = token_counts.pieces(text, token_counts._stand_in)
+    assert "".join(split) == text and sum(token_counts._length(JSON, p) for p in split) == length
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("a '0s\uffff"), st.characters(categories=["Cn", "Lo", "Nd", "Zs"])), max_size=30))
+def test_unassigned_characters_encode_as_the_library(text):
+    assert BPE.encode(text) == TIK.encode_ordinary(text)
+    assert sum(token_counts._length(JSON, p) for p in token_counts.pieces(text, token_counts._stand_in)) == len(LIB.encode(text, add_special_tokens=False).ids)

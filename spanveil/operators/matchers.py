@@ -190,6 +190,22 @@ class CustomMatcher:
             yield start, end, *target
 
 
+def direct(automaton, source: str, value: str, boundary: str) -> Iterator[Found]:
+    """Occurrences in a text of one character a grapheme, given as it is and as the automaton compares it."""
+    if not len(automaton):
+        return
+    whole, n, at, group = boundary == "substring", len(source), -1, []
+    for end, size in automaton.iter(value):
+        start = end - size + 1
+        if not whole and (start and in_word(source[start - 1]) or end + 1 < n and in_word(source[end + 1])):
+            continue
+        if end != at:
+            yield from sorted(group)
+            at, group = end, []
+        group.append((start, end + 1, start, end + 1))
+    yield from sorted(group)
+
+
 class TermMatcher:
     def __init__(self, rule: Rule):
         s = rule.spec
@@ -206,23 +222,9 @@ class TermMatcher:
         self.direct.make_automaton()
         self.direct_use = self.form in ("none", "NFC") and self.boundary in ("word", "unicode-word", "substring")
 
-    def _plain(self, source: str, value: str) -> Iterator[Found]:
-        if not len(self.direct):
-            return
-        whole, n, at, group = self.boundary == "substring", len(source), -1, []
-        for end, size in self.direct.iter(value):
-            start = end - size + 1
-            if not whole and (start and in_word(source[start - 1]) or end + 1 < n and in_word(source[end + 1])):
-                continue
-            if end != at:
-                yield from sorted(group)
-                at, group = end, []
-            group.append((start, end + 1, start, end + 1))
-        yield from sorted(group)
-
     def find(self, text: Text) -> Iterator[Found]:
         if self.direct_use and text.plain and (value := self.fold(text.source)) is not None:
-            yield from self._plain(text.source, value)
+            yield from direct(self.direct, text.source, value, self.boundary)
             return
         units = text.units(self.form)
         edge = Boundary(units, self.boundary)
@@ -242,35 +244,93 @@ def cased(value: str, casing) -> str:
 
 def shadow(source: str, transform, form: str = "NFC", casing="sensitive") -> list[tuple[str, str, int, int, int, int]]:
     """(source, value, source start and end, value start and end) of each grapheme under a transform."""
-    out, at = [], 0
+    one, out, at = shadow_of(transform, form, casing), [], 0
     for a, b in graphemes(source):
-        value = transform(normal(source[a:b], form))
-        if not isinstance(value, str):
-            raise TypeError("a transform must return a string.")
-        value = cased(value, casing)
+        value = one(source[a:b])
         out.append((source[a:b], value, a, b, at, at + len(value)))
         at += len(value)
     return out
 
 
+def shadow_of(transform, form: str, casing):
+    """A function from a grapheme to its shadow."""
+
+    def one(grapheme: str) -> str:
+        value = transform(normal(grapheme, form))
+        if not isinstance(value, str):
+            raise TypeError("a transform must return a string.")
+        return cased(value, casing)
+
+    return one
+
+
+class _Shadows(dict):
+    """The shadows of graphemes, by grapheme and, for ``str.translate``, by code point; a transform sees each once."""
+
+    MOST = 200_000
+
+    def __init__(self, one):
+        super().__init__()
+        self.one = one
+        self.uneven = ""  # characters whose shadow is not one character
+
+    def __missing__(self, key):
+        c = chr(key) if isinstance(key, int) else key
+        value = self.one(c)
+        if len(self) >= self.MOST:
+            self.clear()
+        self[key] = value
+        if isinstance(key, int) and len(value) != 1 and c not in self.uneven:
+            self.uneven += c
+        return value
+
+
 class TransformedMatcher:
+    """Terms met in the shadow of a text. A transform is a pure function of a grapheme, so its values are kept.
+
+    A text of one character a grapheme whose shadow is such a text too, character for character, is searched as it
+    stands; another one is taken apart only if a term stands anywhere in its shadow.
+    """
+
     def __init__(self, rule: Rule):
         s = self.spec = rule.spec
         sensitive = s["casing"] != "unicode-insensitive"
-        values = ["".join(r[1] for r in shadow(t, s["transform"], s["normalization"], s["casing"])) for t in s["terms"]]
+        self.key = (lambda v: v) if sensitive else fold
+        self.plain_key = (lambda v: v) if sensitive else fold_plain
+        self.shadows = _Shadows(shadow_of(s["transform"], s["normalization"], s["casing"]))
+        values = ["".join(self.shadows[t[a:b]] for a, b in graphemes(t)) for t in s["terms"]]
         values = [v for v in values if v]
         if not values:
             raise ValueError("A rule needs at least one term that its transform leaves.")
         self.terms = Dictionary([tuple(v[a:b] for a, b in graphemes(v)) for v in values], sensitive)
+        self.direct, self.worth = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for v in map(self.key, values):
+            self.worth.add_word(v, len(v))
+            if plain(v):
+                self.direct.add_word(v, len(v))
+        self.worth.make_automaton()
+        self.direct.make_automaton()
+        self.direct_use = not isinstance(s["boundary"], LocaleWord)
 
     def find(self, text: Text) -> Iterator[Found]:
-        s = self.spec
-        rows = shadow(text.source, s["transform"], s["normalization"], s["casing"])
-        value = "".join(r[1] for r in rows)
-        starts = {r[4]: r[2] for r in rows if r[1]}
-        ends = {r[5]: r[3] for r in rows if r[1]}
+        source, boundary = text.source, self.spec["boundary"]
+        if self.direct_use and text.plain:
+            value = source.translate(self.shadows)
+            even = len(value) == len(source) and not any(c in source for c in self.shadows.uneven)
+            if even and plain(value) and (key := self.plain_key(value)) is not None:
+                yield from direct(self.direct, value, key, boundary)
+                return
+        values = [self.shadows[source[a:b]] for a, b in text.ranges]
+        value = "".join(values)
+        if next(self.worth.iter(self.key(value)), None) is None:
+            return
+        starts, ends, at = {}, {}, 0
+        for (a, b), v in zip(text.ranges, values, strict=True):
+            if v:
+                starts[at], ends[at + len(v)] = a, b
+                at += len(v)
         units = [Unit(value[a:b], a, b) for a, b in graphemes(value)]
-        edge = Boundary(units, s["boundary"])
+        edge = Boundary(units, boundary)
         for i, j in self.terms.occurrences(units):
             a, b = units[i].start, units[j].end
             if a in starts and b in ends and edge.accepts(i, j):

@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where the session names none, as in tests."""
+    """The folder in ``spark.checkpoint.dir``; a local one only where the session names none and runs in one process."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spanveil-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -34,14 +36,34 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
 
 
-def arrow_map(df: DataFrame, fn: Callable[..., dict], schema: str, *columns: str) -> DataFrame:
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` gave and that nothing will read again; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "stored_path", None):
+            sc = df.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that clash with none of ``df``, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    prefix = "_"
+    while any((prefix + n).lower() in taken for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
+def arrow_map(df: DataFrame, fn: Callable[..., dict], schema: str, *columns: str, pieces: Callable[[Iterator], Iterator] = iter) -> DataFrame:
     """``fn`` over batches of the named columns; it takes Arrow arrays and returns the columns of ``schema``.
 
-    Only the named columns leave the JVM. Batches are bounded by Spark's Arrow settings, so memory does not
-    grow with a partition.
+    Only the named columns leave the JVM. Batches are bounded by Spark's Arrow settings, and cut further by ``pieces``,
+    so memory does not grow with a partition.
     """
     frame = df.select(*columns)
     target = frame.sparkSession.createDataFrame([], schema).schema
@@ -50,7 +72,7 @@ def arrow_map(df: DataFrame, fn: Callable[..., dict], schema: str, *columns: str
     out = to_arrow_schema(target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             made = fn(*batch.columns)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) and x.type == f.type else pa.array(x, f.type) for x, f in zip(made.values(), out, strict=True)], schema=out)
 

@@ -9,75 +9,145 @@ common with any partner, so partners share at least l of the first n - t + l. Ea
 can gather l of them. A pair is verified only if it shares as many prefix shingles as its sizes then require: the
 overlap needed less what the shingles beyond the prefixes can give. Verification intersects whole sets.
 
-Only components are asked for, so a pair already joined through others needs no verification. Candidates are verified in
-two rounds: first each class with its least candidate, then the candidates whose classes are still apart. A shingle
-that more than ``LIGHT`` classes have in their prefix would pair them all, as in a large family of near copies; there the
-first rounds pair each class with one hub of its shingle and size, another hub each time while components meet there.
-What is left is taken by the hub it joined, a family or a single class, and families must share as many heavy prefix
-shingles as their members' sizes require. Jaccard distance is a metric: two families can only hold a link if their hubs
-are nearer than 0.2 plus the distances of the two members from their hubs, and only members within that bound are paired.
-No link is lost.
-
-Scale: texts are read three times in narrow maps (the last after a semi join on ids); what moves is the prefixes, about a
-fifth of the shingles at 24 bytes, and the sets of classes that have candidates. The table of frequent shingles, which
-only sets the order, is made of bounded summaries and has ``FREQUENT`` rows at most. Class keys are 64-bit hashes that one
-aggregation verifies against a second hash; if two sets share a key, the next seed is tried. Shingles are compared by
-64-bit hash.
+Only components are asked for, so a pair already joined through others needs no verification. Of a class's candidates the
+least is verified first, then those whose classes are still apart. A shingle that more than ``LIGHT`` classes have in
+their prefix is heavy: pairing them all would be quadratic, and in a family of near copies most of it idle. There each
+class is first paired with a hub: the class in which that shingle comes earliest has the fewest shingles of its own, so it
+is the middle of the family, and one round joins what is near it. Rounds go on, with other hubs, while they join something
+and many pairs are left. What is left is paired by shingle, only across components, and only where the places of the
+shingle in the two sets leave room for the overlap that their sizes need: the first shingle that two partners share
+stands so early in both. No link is lost.
+
+The order knows which shingles are frequent from bounded summaries of all partitions, and from the prefixes themselves:
+if a shingle turns out heavy that the order took for rare, it joins the table and prefixes are taken again, once. The
+order decides costs only, never results.
+
+Scale: texts are read in narrow maps that hash whole batches of bytes at a time; what moves is the prefixes, about a
+fifth of the shingles at 24 bytes, and the sets of classes that have candidates, each once for each round that needs it.
+The table of frequent shingles has ``FREQUENT`` rows at most from each of its two sources. Class keys are 64-bit hashes
+that one aggregation verifies against a second hash; if two sets share a key, the next seed is tried. Shingles are
+compared by 64-bit hash. Tables that no later step reads are deleted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanveil.llm.common import Cache, arrow_map, stored
+from spanveil.llm.common import arrow_map, discard, stored, unused
 
 WIDTH = 5
-LIGHT = 64
+LIGHT = 32
 MOST_MATCHES = 8
 FREQUENT = 65_536
 SUMMARY = 8_192
 LEAST_FREQUENT = 32
+SALT = 4_096  # rows of a heavy shingle in one task
 _TALLY = 300_000
-HUB_ROUNDS = 3
-ROWS = 1_000
+_CELLS = 1 << 21
+_HUB_ROUNDS = 8
+_BYTES = 2_000_000  # of texts that are hashed at a time
+_LONG_WORD = 64
 
 
-@lru_cache(maxsize=1)
-def _hashes() -> Cache:
-    return Cache(xxhash.xxh3_64_intdigest, 250_000)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+_rng = np.random.default_rng(5)
+_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_VALUES[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
+_POWERS = np.cumprod(np.full(_LONG_WORD, 0x9E3779B97F4A7C15, np.uint64))
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each lower-cased word: a polynomial over byte values, long words by xxhash."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _BYTES)))
+        a, b = starts[at:to], ends[at:to]
+        size = np.minimum(b - a, _LONG_WORD)
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
+        values = _VALUES[data[np.repeat(a, size) + place]] * _POWERS[place]
+        out[at:to] = np.add.reduceat(values, first)
+        at = to
+    out = _mixed(out)
+    for i in np.flatnonzero(ends - starts > _LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes().lower())
+    return out
+
+
+def sets_of(texts: pa.Array) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles; fewer words than five are one, none give none."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    _, offsets, buffer = texts.buffers()
+    off = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(buffer, np.uint8)[off[0] : off[-1]] if buffer is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
+    off = off - off[0]
+    if not len(data):
+        return [np.zeros(0, np.uint64) for _ in range(len(texts))]
+    space = _SPACE[data]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    heads = off[:-1][off[1:] > off[:-1]]
+    begins[heads] = ~space[heads]
+    closes = ~space
+    closes[:-1] &= space[1:]
+    closes[heads[1:] - 1] = ~space[heads[1:] - 1]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
+    w = _word_hashes(data, starts, ends)
+    edge = np.searchsorted(starts, off)
+    h = np.zeros(max(0, len(w) - WIDTH + 1), np.uint64)
+    if len(h):
+        h += w[: len(h)]
+        for k in range(1, WIDTH):
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += w[k : len(h) + k]
+        h = _mixed(h)
+    out = []
+    for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+        if b - a >= WIDTH:
+            s = np.sort(h[a : b - WIDTH + 1])
+            new = s[1:] != s[:-1]
+            out.append(s if new.all() else np.concatenate([s[:1], s[1:][new]]))
+        elif b > a:
+            words = b" ".join(data[starts[i] : ends[i]].tobytes().lower() for i in range(a, b))
+            out.append(np.array([xxhash.xxh3_64_intdigest(words, b - a)], np.uint64))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's shingles; fewer words than five are one shingle, none give none."""
-    words = (text or "").encode().lower().split()  # on bytes: lower-cases A-Z, splits at the six white characters
-    n = len(words)
-    if n < WIDTH:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), n)] if n else [], np.uint64)
-    w = np.fromiter(map(_hashes().__getitem__, words), np.uint64, n)
-    h = w[: n - WIDTH + 1].copy()
-    for k in range(1, WIDTH):
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h += w[k : n - WIDTH + 1 + k]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    return np.unique(h)
+    return sets_of(pa.array([text], pa.string()))[0]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of ``ROWS`` rows at most, so that the sets of a few texts are held at a time."""
+    """Pieces of batches of ``_BYTES`` of texts, their last column, or a single longer one."""
     for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
+        size = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total, at = np.cumsum(size), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(total, total[at] - size[at] + _BYTES, "right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def _class(s: np.ndarray, seed: int) -> int:
@@ -88,47 +158,87 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+class Tally:
+    """Frequent shingles of all that a task reads, in bounded memory.
+
+    Every shingle counts in one of ``_CELLS`` cells. One whose cell has gathered clearly more than the mean is counted by
+    itself from then on, starting from its cell, so that a shingle held once in each batch is found as well.
+    """
+
+    def __init__(self):
+        self.cells, self.seen = np.zeros(_CELLS, np.int32), 0
+        self.tokens, self.times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray) -> None:
+        cell = (flat >> np.uint64(64 - 21)).astype(np.int64)
+        self.cells += np.bincount(cell, minlength=_CELLS).astype(np.int32)
+        self.seen += len(flat)
+        often = flat[self.cells[cell] >= 8 + 4 * self.seen // _CELLS]
+        if not len(often):
+            return
+        new, n = np.unique(often, return_counts=True)
+        at = np.searchsorted(self.tokens, new)
+        known = np.zeros(len(new), bool)
+        if len(self.tokens):
+            known = self.tokens[np.minimum(at, len(self.tokens) - 1)] == new
+        self.times[at[known]] += n[known]
+        fresh = new[~known]
+        first = self.cells[(fresh >> np.uint64(64 - 21)).astype(np.int64)].astype(np.int64)
+        self.tokens, self.times = np.insert(self.tokens, at[~known], fresh), np.insert(self.times, at[~known], first)
+        if len(self.tokens) > _TALLY:
+            top = np.sort(np.argsort(-self.times, kind="stable")[: _TALLY // 2])
+            self.tokens, self.times = self.tokens[top], self.times[top]
+
+    def top(self) -> tuple[np.ndarray, np.ndarray]:
+        top = np.argsort(-self.times, kind="stable")[:SUMMARY]
+        return self.tokens[top], self.times[top]
+
+
 def _describe(docs: DataFrame, text: str, key: str, seed: int) -> DataFrame:
     """A row for each document (key, n, cls, proof), and rows (token, times) of each partition's frequent shingles."""
     kind = docs.schema[key].dataType
     out = f"`key` {kind.simpleString()}, n long, cls long, proof long, token long, times long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        tally = Tally()
         none = lambda n: pa.nulls(n, pa.int64())
         names, last = ["key", "n", "cls", "proof", "token", "times"], None
         for batch in _slices(batches):
-            keys, sets = batch.column(0), [shingles(t) for t in batch.column(1).to_pylist()]
+            keys, sets = batch.column(0), sets_of(batch.column(1))
             last = keys.type
             if sets:
-                seen, n = np.unique(np.concatenate(sets), return_counts=True)
-                tokens, at = np.unique(np.concatenate([tokens, seen[n > 1]]), return_inverse=True)
-                times = np.bincount(at, np.concatenate([times, n[n > 1]]), len(tokens)).astype(np.int64)
-                if len(tokens) > _TALLY:
-                    top = np.sort(np.argsort(-times, kind="stable")[: _TALLY // 2])
-                    tokens, times = tokens[top], times[top]
+                tally.add(np.concatenate(sets))
             cls = [_class(s, seed) if len(s) else None for s in sets]
             proof = [xxhash.xxh64_intdigest(s.tobytes()) if len(s) else None for s in sets]
             signed = lambda xs: pa.array([x if x is None or x < 2**63 else x - 2**64 for x in xs], pa.int64())
             yield pa.RecordBatch.from_arrays([keys, pa.array([len(s) for s in sets], pa.int64()), signed(cls), signed(proof), none(len(sets)), none(len(sets))], names=names)
-        top = np.argsort(-times, kind="stable")[:SUMMARY]
-        if last is not None and len(top):
-            m = len(top)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, last), none(m), none(m), none(m), _signed(tokens[top]), pa.array(times[top])], names=names)
+        tokens, times = tally.top()
+        if last is not None and len(tokens):
+            m = len(tokens)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, last), none(m), none(m), none(m), _signed(tokens), pa.array(times)], names=names)
 
     return docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, out)
 
 
-def describe(docs: DataFrame, text: str, key: str) -> tuple[int, DataFrame, DataFrame]:
-    """The verified seed, (key, n, cls) of every row, and (token, times) of the frequent shingles."""
+def describe(docs: DataFrame, text: str, key: str) -> tuple[int, DataFrame, np.ndarray]:
+    """The verified seed, (key, n, cls) of every row, and the frequent shingles (token, times)."""
     for seed in count():
         found = stored(_describe(docs, text, key, seed), "described")
         rows = found.where("n IS NOT NULL").select("key", "n", "cls", "proof")
         mixed = rows.where("n > 0").groupBy("cls").agg(F.min("proof").alias("a"), F.max("proof").alias("b"), F.min("n").alias("c"), F.max("n").alias("d"))
         if mixed.where("a <> b OR c <> d").limit(1).count() == 0:
             break
+        discard(found)
     frequent = found.where("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= LEAST_FREQUENT)
-    return seed, rows.drop("proof"), frequent.orderBy(F.desc("times"), "token").limit(FREQUENT)
+    return seed, rows.drop("proof"), _table(frequent)
+
+
+def _table(frequent: DataFrame) -> np.ndarray:
+    """The ``FREQUENT`` most frequent rows (token, times), in the order of tokens."""
+    rows = frequent.orderBy(F.desc("times"), "token").limit(FREQUENT).collect()
+    out = np.zeros(len(rows), [("token", np.uint64), ("times", np.int64)])
+    out["token"], out["times"] = np.array([r.token for r in rows], np.int64).view(np.uint64), [r.times for r in rows]
+    return np.sort(out, order="token")
 
 
 def needed(n: int) -> int:
@@ -140,41 +250,48 @@ def _needed(n: Column) -> Column:
     return F.floor((F.lit(4) * n + 4) / 5).cast("long")
 
 
-def _postings(docs: DataFrame, text: str, seed: int, frequent: DataFrame) -> DataFrame:
-    """(token, cls, n, pos, frequent) of the longest prefix that a class may take, at least once for each class."""
-    rows = frequent.collect()  # FREQUENT at most
-    names = np.array([r.token for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(names)
-    shared = docs.sparkSession.sparkContext.broadcast((names[order], np.array([r.times for r in rows], np.int64)[order]))
+def _overlap(na: str, nb: str) -> Column:
+    """The least overlap of linked sets of ``na`` and ``nb`` shingles: 100 x >= 80 (na + nb - x)."""
+    return F.ceil((F.col(na) + F.col(nb)) * 4 / 9)
+
+
+def _postings(docs: DataFrame, text: str, seed: int, frequent: np.ndarray) -> DataFrame:
+    """(token, cls, n, pos, often) of the longest prefix that a class may take, at least once for each class."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, times = shared.value
+        table, times = shared.value["token"].copy(), shared.value["times"].copy()
+        maybe = np.zeros(_CELLS, bool)
+        maybe[(table >> np.uint64(64 - 21)).astype(np.int64)] = True
         seen: set[int] = set()
         for batch in _slices(batches):
             tokens, cls, n, pos, often = [], [], [], [], []
-            for t in batch.column(0).to_pylist():
-                s = shingles(t)
+            for s in sets_of(batch.column(0)):
                 if not len(s) or (c := _class(s, seed)) in seen:
                     continue
                 if len(seen) >= 500_000:
                     seen.clear()
                 seen.add(c)
                 size = min(len(s), len(s) - needed(len(s)) + MOST_MATCHES)
-                if len(table):
-                    at = np.minimum(np.searchsorted(table, s), len(table) - 1)
-                    hit = table[at] == s
-                    late = np.flatnonzero(hit)
-                    late = late[np.argsort(times[at[late]], kind="stable")]
-                    ordered = np.concatenate([np.flatnonzero(~hit), late])[:size]
-                    often.append(hit[ordered])
-                    s_size, s = len(s), s[ordered]
+                cls.append(np.full(size, c, np.uint64))
+                n.append(np.full(size, len(s), np.int32))
+                pos.append(np.arange(size, dtype=np.int32))
+                late = np.flatnonzero(maybe[(s >> np.uint64(64 - 21)).astype(np.int64)])
+                if len(late):
+                    at = np.minimum(np.searchsorted(table, s[late]), len(table) - 1)
+                    hit = table[at] == s[late]
+                    late, at = late[hit], at[hit]
+                if len(late):
+                    rare = np.ones(len(s), bool)
+                    rare[late] = False
+                    # ties are settled by the token, so that the order is one for all sets
+                    late = late[np.argsort(times[at], kind="stable")]
+                    s = np.concatenate([s[rare][:size], s[late]])[:size]
+                    often.append(np.arange(size) >= rare.sum())
                 else:
-                    s_size, s = len(s), s[:size]
-                    often.append(np.zeros(len(s), bool))
+                    s = s[:size]
+                    often.append(np.zeros(size, bool))
                 tokens.append(s)
-                cls.append(np.full(len(s), c, np.uint64))
-                n.append(np.full(len(s), s_size, np.int32))
-                pos.append(np.arange(len(s), dtype=np.int32))
             if tokens:
                 yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), _signed(np.concatenate(cls)), pa.array(np.concatenate(n)), pa.array(np.concatenate(pos)), pa.array(np.concatenate(often))], names=["token", "cls", "n", "pos", "often"])
 
@@ -186,12 +303,22 @@ def _met(postings: DataFrame) -> DataFrame:
     rare = postings.where("NOT often").repartition("token").dropDuplicates(["token", "cls"])
     rare = rare.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
     often = postings.where("often").dropDuplicates(["token", "cls"])
-    met = often.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # of the FREQUENT shingles at most
+    met = often.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # of the frequent shingles at most
     often = often.join(F.broadcast(met), "token").where("df > 1")
-    cols = ["token", "cls", "n", "pos", "df"]
+    cols = ["token", "cls", "n", "pos", "df", "often"]
     return rare.select(*cols).unionByName(often.select(*cols)).withColumn("heavy", F.col("df") > LIGHT)
 
 
+def prefixes(docs: DataFrame, text: str, seed: int, frequent: np.ndarray) -> DataFrame:
+    """``_met`` under an order that has all heavy shingles late, as far as a table of bounded size can hold them."""
+    met = stored(_met(_postings(docs, text, seed, frequent)), "met")
+    missed = _table(met.where("heavy AND NOT often").groupBy("token").agg(F.max("df").alias("times")))
+    if not len(missed):
+        return met
+    discard(met)
+    return stored(_met(_postings(docs, text, seed, np.sort(np.concatenate([frequent, missed]), order="token"))), "met")
+
+
 def _adapted(met: DataFrame) -> DataFrame:
     """``met`` cut to each class's own prefix, with its length ``len``.
 
@@ -204,43 +331,39 @@ def _adapted(met: DataFrame) -> DataFrame:
     cost = [(F.col(f"s{k}") * (1 + F.col("n") / (10 * k))).alias("c") for k in range(1, MOST_MATCHES + 1)]
     least = F.array_min(F.array(*(F.struct(c, F.lit(k).alias("k")) for k, c in enumerate(cost, 1))))["k"]
     length = costs.select("cls", F.least(F.col("n"), F.col("n") - _needed(F.col("n")) + least).cast("int").alias("len"))
-    return met.join(length, "cls").where("pos < len")
+    return met.join(length, "cls").where("pos < len").drop("often")
 
 
 def _candidates(posts: DataFrame) -> DataFrame:
-    """(a, b), a < b: classes that share a light prefix shingle and enough prefix shingles in all."""
-    heavy = posts.where("heavy").groupBy("cls").agg(F.collect_list("token").alias("often"))  # at most a prefix
-    light = posts.where("NOT heavy").join(heavy.select("cls", F.size("often").alias("h")), "cls", "left").withColumn("h", F.coalesce("h", F.lit(0)))
+    """(a, b), a < b: classes that share a light prefix shingle and may share enough prefix shingles in all."""
+    heavy = posts.where("heavy").groupBy("cls").agg(F.count(F.lit(1)).alias("h"))
+    light = posts.where("NOT heavy").join(heavy, "cls", "left").withColumn("h", F.coalesce("h", F.lit(0)))
     side = lambda o: light.select("token", F.col("cls").alias(o), *(F.col(c).alias(f"{x}{o}") for c, x in (("n", "n"), ("len", "l"), ("h", "h"))))
     pairs = side("a").join(side("b"), "token").where("a < b AND 5 * least(na, nb) >= 4 * greatest(na, nb)")
     pairs = pairs.groupBy("a", "b", "na", "nb", "la", "lb", "ha", "hb").agg(F.count(F.lit(1)).alias("shared"))
     # what is not in both prefixes lies beyond the one that ends first in the global order
-    wanted = F.ceil((F.col("na") + F.col("nb")) * 4 / 9) - F.greatest(F.col("na") - F.col("la"), F.col("nb") - F.col("lb"))
-    pairs = pairs.where(F.col("shared") + F.least("ha", "hb") >= wanted)
-    pairs = pairs.join(heavy.select(F.col("cls").alias("a"), F.col("often").alias("oa")), "a", "left").join(heavy.select(F.col("cls").alias("b"), F.col("often").alias("ob")), "b", "left")
-    both = F.col("shared") + F.coalesce(F.size(F.array_intersect("oa", "ob")), F.lit(0))
-    return pairs.where(both >= wanted).select("a", "b")
+    wanted = _overlap("na", "nb") - F.greatest(F.col("na") - F.col("la"), F.col("nb") - F.col("lb"))
+    return pairs.where(F.col("shared") + F.least("ha", "hb") >= wanted).select("a", "b")
 
 
 def _sets(docs: DataFrame, text: str, key: str, seed: int, keys: DataFrame) -> DataFrame:
     """(cls, tokens) of the documents with the given keys."""
 
     def run(texts: pa.Array) -> dict:
-        sets = [shingles(t) for t in texts.to_pylist()]
-        sets = [s for s in sets if len(s)]
+        sets = [s for s in sets_of(texts) if len(s)]
         return {"cls": _signed(np.array([_class(s, seed) for s in sets], np.uint64)), "tokens": [s.view(np.int64) for s in sets]}
 
     some = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("text")).join(keys, F.col("_k").eqNullSafe(F.col("key")), "left_semi")
-    return arrow_map(some, run, "cls long, tokens array<long>", "text").dropDuplicates(["cls"])
+    return arrow_map(some, run, "cls long, tokens array<long>", "text", pieces=_slices).dropDuplicates(["cls"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, similarity, link) of each pair, by whole sets."""
-    got = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a")
+    """(a, b, link) of each pair, by whole sets; only the sets of these pairs move."""
+    left = sets.join(pairs.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi")
+    got = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b").join(left.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a")
     same = F.size(F.array_intersect("ta", "tb"))
     got = got.select("a", "b", same.alias("same"), (F.size("ta") + F.size("tb")).alias("sum"))
-    union = F.col("sum") - F.col("same")
-    return got.select("a", "b", (F.col("same") / union).alias("similarity"), (F.col("same") * 100 >= union * 80).alias("link"))
+    return got.select("a", "b", (F.col("same") * 100 >= (F.col("sum") - F.col("same")) * 80).alias("link"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -253,9 +376,16 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("further"))
         new = new.join(jump, "next", "left").select("node", F.least("next", F.coalesce("further", "next")).alias("label"), (F.least("next", F.coalesce("further", "next")) < F.col("label")).alias("moved"))
         new = stored(new, "labels")
-        labels = new.select("node", "label")
+        discard(labels)
+        labels = new
         if new.where("moved").limit(1).count() == 0:
-            return labels
+            discard(both)
+            return labels.drop("moved")
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with each class's component, or the class itself where it has none yet."""
+    return rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -265,45 +395,53 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.where(F.coalesce("_la", "a") != F.coalesce("_lb", "b")).drop("_la", "_lb")
 
 
-def _hubs(posts: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """(a, b, hub): each class of heavy shingles whose classes are not all in one component, with one of their hubs.
+def _open(posts: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
+    """Heavy rows (token, cls, n, pos, df, label, top) of shingles whose classes are not all in one component.
 
-    Hubs are of the class's size band, the least by a hash that changes with the turn; pairs of one component are left out.
+    ``top`` is the component that most of a shingle's classes are in. Then how many rows, and how many pairs across
+    components, there are. A first shared shingle stands before n - t + 1 in both sets; later places can't be one.
     """
-    rows = posts.where("heavy").select("token", "cls", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).alias("band"))
-    rows = rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    place = F.xxhash64(F.col("cls"), F.lit(turn))
-    hub = rows.groupBy("token", "band").agg(F.min(F.struct(place.alias("place"), "cls", "label")).alias("hub"), F.min("label").alias("x"), F.max("label").alias("y"))
-    hub = hub.where("x <> y").select("token", "band", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label"))
+    rows = posts.where("heavy").where(F.col("pos") <= F.col("n") - _needed(F.col("n"))).select("token", "cls", "n", "pos", "df")
+    rows = _labelled(rows, labels)
+    sizes = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    sums = sizes.groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("top"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).where("m * m > q")
+    sums = stored(sums, "open-shingles")
+    out = stored(rows.join(sums.select("token", "top"), "token"), "open")
+    m, pairs = sums.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0))).first()
+    discard(sums)
+    return out, int(m), int(pairs)
+
+
+def _hubs(rows: DataFrame, used: DataFrame) -> DataFrame:
+    """(a, b, hub): each class of open heavy shingles with one of their hubs in another component.
+
+    A shingle has a hub for each band of sizes: the class that was no hub yet in which it stands earliest.
+    """
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))))
+    fresh = rows.join(used, "cls", "left_anti")
+    hub = fresh.groupBy("token", "band").agg(F.min(F.struct("pos", "cls", "label")).alias("hub"))
+    hub = hub.select("token", "band", F.col("hub.cls").alias("hub"), F.col("hub.label").alias("hub_label"))
     met = rows.join(hub, ["token", "band"]).where("label <> hub_label").groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("shared"))
     # of the hubs that a class meets, the one with which it shares most
     met = met.groupBy("cls").agg(F.max(F.struct("shared", "hub")).alias("m")).select("cls", F.col("m.hub").alias("hub"))
     return met.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"), "hub").distinct()
 
 
-def _families(posts: DataFrame, linked: DataFrame, hubs: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of heavy shingles' classes that the rounds left open, by shared shingles and the metric's bound."""
-    near = linked.select(F.col("b").alias("cls"), F.col("a").alias("hub"), "similarity").unionByName(linked.select(F.col("a").alias("cls"), F.col("b").alias("hub"), "similarity"))
-    near = near.join(hubs.withColumnRenamed("cls", "hub"), "hub", "left_semi")
-    best = near.groupBy("cls").agg(F.max(F.struct("similarity", "hub")).alias("m")).select("cls", F.col("m.hub").alias("anchor"), (1 - F.col("m.similarity")).alias("off"))
-    best = best.join(hubs, "cls", "left_anti")  # hubs stand for themselves
-    rows = posts.where("heavy").select("token", "cls", "n", (F.col("n") - F.col("len")).alias("rest")).join(best, "cls", "left")
-    rows = rows.select("token", "cls", "n", "rest", F.coalesce("anchor", "cls").alias("anchor"), F.coalesce("off", F.lit(0.0)).alias("off"))
-    rows = stored(rows, "members")
-    groups = rows.groupBy("token", "anchor").agg(F.max("off").alias("off"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"))
-    groups = stored(groups.join(labels.select(F.col("node").alias("anchor"), "label"), "anchor", "left").withColumn("label", F.coalesce("label", "anchor")), "anchors")
-    several = groups.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-    groups = groups.join(several, "token", "left_semi")
-    side = lambda o: groups.select("token", F.col("anchor").alias(o), *(F.col(c).alias(f"{c}_{o}") for c in ("off", "label", "low", "high", "rest")))
-    pairs = side("a").join(side("b"), "token").where("a < b AND label_a <> label_b AND 5 * high_a >= 4 * low_b AND 5 * high_b >= 4 * low_a")
-    pairs = pairs.groupBy("a", "b").agg(F.max(F.col("off_a") + F.col("off_b")).alias("reach"), F.count(F.lit(1)).alias("shared"), F.min(F.col("low_a") + F.col("low_b")).alias("low"), F.max(F.greatest("rest_a", "rest_b")).alias("rest"))
-    # members without a light shingle in common share heavy ones only, no more of them than their families do
-    pairs = stored(pairs.where(F.col("shared") >= F.ceil(F.col("low") * 4 / 9) - F.col("rest")), "anchor-pairs")
-    apart = _verify(pairs.select("a", "b"), sets).join(pairs, ["a", "b"]).where(1 - F.col("similarity") <= 0.2 + F.col("reach") + 1e-9)
-    apart = apart.select(F.col("a").alias("anchor_a"), F.col("b").alias("anchor_b"), (1 - F.col("similarity")).alias("gap"))
-    member = lambda o: rows.select("token", F.col("cls").alias(o), F.col("n").alias(f"n{o}"), F.col("anchor").alias(f"anchor_{o}"), F.col("off").alias(f"off_{o}"))
-    open_ = member("a").join(apart, "anchor_a").join(member("b"), ["token", "anchor_b"]).where("gap <= 0.2 + off_a + off_b + 1e-9 AND 5 * least(na, nb) >= 4 * greatest(na, nb)")
-    return open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _left(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: open pairs that a heavy shingle's places allow. Pairs within a shingle's top component are skipped.
+
+    The overlap of two sets is at most what stands before a shared shingle in the one that has less there, the shingle,
+    and what stands behind it likewise; for the first shared one, nothing before. Rows of a shingle are cut into salted
+    parts of about ``SALT``, and those outside the top component meet each part.
+    """
+    parts = F.ceil(F.col("df") / SALT).cast("int")
+    whole = rows.withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int"))
+    few = rows.where("label <> top").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    side = lambda df, o: df.select("token", "part", "top", F.col("cls").alias(o), *(F.col(c).alias(f"{x}{o}") for c, x in (("n", "n"), ("pos", "p"), ("label", "y"))))
+    pairs = side(few, "a").join(side(whole, "b").drop("top"), ["token", "part"])
+    room = _overlap("na", "nb") <= F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    pairs = pairs.where("ya <> yb AND (yb = top OR a < b) AND 5 * least(na, nb) >= 4 * greatest(na, nb)").where(room)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -312,7 +450,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     ``component_id`` is the smallest key that links reach, equal sets included; rows without shingles (null, empty or
     wordless texts) are linked with nothing and have their own key. ``cls`` names the set and ``label`` the component;
     both are null for rows without shingles. Null keys take part and are never the smallest unless all are null. Rows that
-    repeat are equal sets. Other columns are not read; an empty table gives no rows.
+    repeat are equal sets. Keys may be of any type that has an order. Other columns are not read, whatever their names; a
+    very long text is hashed in pieces; an empty table gives no rows.
     """
     return _joined(docs, text, key)[1]
 
@@ -320,32 +459,39 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 def _joined(docs: DataFrame, text: str, key: str) -> tuple[int, DataFrame]:
     spark = docs.sparkSession
     seed, rows, frequent = describe(docs, text, key)
-    frequent = stored(frequent, "frequent")
-    met = stored(_met(_postings(docs, text, seed, frequent)), "met")
+    met = prefixes(docs, text, seed, frequent)
     posts = stored(_adapted(met), "posts")
+    discard(met)
     light = stored(_candidates(posts), "candidates")
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"))
     involved = light.select(F.col("a").alias("cls")).unionByName(light.select(F.col("b").alias("cls"))).unionByName(posts.where("heavy").select("cls")).distinct()
     sets = stored(_sets(docs, text, key, seed, classes.join(involved, "cls", "left_semi").select("key").distinct()), "sets")
 
-    least = light.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    nobody = labels = spark.createDataFrame([], "node long, label long")
+    nobody = spark.createDataFrame([], "node long, label long")
     hubs = nobody.select(F.col("node").alias("cls"))
-    done = None
-    for turn in range(HUB_ROUNDS):
-        star = stored(_hubs(posts, labels, turn), "star")
+    pairs, labels, done, joined = light.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), nobody, None, True
+    for _ in range(_HUB_ROUNDS):
+        rows_open, m, across = _open(posts, labels)
+        if done is not None and (across <= LIGHT * m // 2 or not joined):
+            break
+        star = stored(_hubs(rows_open, hubs), "star")
         hubs = stored(hubs.unionByName(star.select(F.col("hub").alias("cls"))).distinct(), "hubs")
-        pairs = star.select("a", "b") if done is not None else star.select("a", "b").unionByName(least)
-        pairs = pairs.distinct() if done is None else pairs.distinct().join(done, ["a", "b"], "left_anti")
+        pairs = star.select("a", "b") if done is not None else star.select("a", "b").unionByName(pairs)
+        pairs = pairs.distinct() if done is None else pairs.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
         found = stored(_verify(pairs, sets), "verified")
+        joined = done is None or found.where("link").limit(1).count() > 0
         done = found if done is None else done.unionByName(found)
-        labels = components(done.where("link"))
-    more = _apart(light.join(done, ["a", "b"], "left_anti"), labels)
-    more = more.unionByName(_apart(_families(posts, done.where("link"), hubs, labels, sets), labels)).distinct()
-    second = stored(_verify(more.join(done, ["a", "b"], "left_anti"), sets), "verified")
+        if joined:
+            labels = components(done.where("link"))
+        discard(rows_open, star)
+    else:
+        rows_open, _, _ = _open(posts, labels)
+    more = _apart(light.unionByName(_left(rows_open)).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), labels)
+    second = stored(_verify(stored(more, "left"), sets), "verified")
     labels = components(done.where("link").select("a", "b").unionByName(second.where("link").select("a", "b")))
+    discard(sets, posts, light, rows_open)
 
-    named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "key", F.coalesce("label", "cls").alias("label"))
+    named = _labelled(classes, labels).select("cls", "key", "label")
     named = stored(named, "classes")
     least_key = named.groupBy("label").agg(F.min("key").alias("component"))
     named = stored(named.select("cls", "label").join(least_key, "label"), "named")
@@ -358,30 +504,32 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     """One row of each component, the one with the smallest key, and all rows without shingles, with all columns.
 
     Rows leave by an anti join on keys. Keys that are null or repeat can't name a row; of their rows, few as a rule,
-    those whose component they stand for are told apart by a row number.
+    those whose component they stand for are told apart by a row number. Columns of any names pass through.
     """
     seed, found = _joined(docs, text, key)
-    found = stored(found, "joined")
-    names = found.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.min((F.col(key).eqNullSafe(F.col("component_id"))).cast("int")).alias("_stays"))
-    odd = names.where("_n > 1 OR _key IS NULL").select("_key")
-    gone = stored(names.where("_n > 1 OR _key IS NULL OR _stays = 0").select("_key", "_n"), "gone")
-    plain = docs.join(gone.select("_key"), docs[key].eqNullSafe(F.col("_key")), "left_anti")
-    if gone.where("_n > 1 OR _key IS NULL").limit(1).count() == 0:
+    k, c, row = unused(docs, "k", "cls", "row")
+    own = F.col(f"`{key}`")
+    found = stored(found.select(own.alias(k), "component_id", F.col("cls").alias("_c"), F.col("label").alias("_l")), "joined")
+    names = found.groupBy(k).agg(F.count(F.lit(1)).alias("times"), F.min(F.col(k).eqNullSafe(F.col("component_id")).cast("int")).alias("stays"))
+    odd = names.where(f"times > 1 OR {k} IS NULL").select(k)
+    gone = stored(names.where(f"times > 1 OR {k} IS NULL OR stays = 0").select(k, "times"), "gone")
+    plain = docs.join(gone.select(k), own.eqNullSafe(F.col(k)), "left_anti")
+    if gone.where(f"times > 1 OR {k} IS NULL").limit(1).count() == 0:
         return plain
 
-    again = docs.join(odd, docs[key].eqNullSafe(F.col("_key")), "left_semi")
-    sizes = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key"), "cls", "label").distinct()
+    again = docs.join(odd, own.eqNullSafe(F.col(k)), "left_semi")
+    kept, kc, kl = unused(docs, "kept", "kept_cls", "kept_label")
+    sizes = found.where(F.col(k).eqNullSafe(F.col("component_id"))).select(F.col(k).alias(kept), F.col("_c").alias(kc), F.col("_l").alias(kl)).distinct()
 
     @F.arrow_udf("long")
     def cls_of(texts: pa.Array) -> pa.Array:
-        made = [shingles(t) for t in texts.to_pylist()]
-        return pa.array([None if not len(s) else int(np.uint64(_class(s, seed)).view(np.int64)) for s in made], pa.int64())
-
-    again = again.withColumn("_cls", cls_of(F.col(f"`{text}`")))
-    again = again.join(sizes, again[key].eqNullSafe(F.col("_key")) & F.col("_cls").eqNullSafe(F.col("cls"))).drop("_key", "cls")
-    order = Window.partitionBy("label", F.col(key)).orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    again = again.withColumn("_row", F.when(F.col("label").isNull(), 1).otherwise(F.row_number().over(order))).where("_row = 1")
-    return plain.unionByName(again.select(*[f"`{c}`" for c in docs.columns]))
+        return pa.array([None if not len(s) else int(np.uint64(_class(s, seed)).view(np.int64)) for s in sets_of(texts)], pa.int64())
+
+    again = again.withColumn(c, cls_of(F.col(f"`{text}`")))
+    again = again.join(sizes, own.eqNullSafe(F.col(kept)) & F.col(c).eqNullSafe(F.col(kc)))
+    order = Window.partitionBy(kl, kept).orderBy(*[F.col(f"`{x}`") for x in docs.columns])
+    again = again.withColumn(row, F.when(F.col(kl).isNull(), 1).otherwise(F.row_number().over(order))).where(F.col(row) == 1)
+    return plain.unionByName(again.select(*[f"`{x}`" for x in docs.columns]))
 
 
 ORACLE = r"""

@@ -13,8 +13,8 @@ Only components are asked for, so a pair already joined through others needs no
 least is verified first, then those whose classes are still apart. A shingle that more than ``LIGHT`` classes have in
 their prefix is heavy: pairing them all would be quadratic, and in a family of near copies most of it idle. There each
 class is first paired with a hub: the class in which that shingle comes earliest has the fewest shingles of its own, so it
-is the middle of the family, and one round joins what is near it. Rounds go on, with other hubs, while they join something
-and many pairs are left. What is left is paired by shingle, only across components, and only where the places of the
+is the middle of the family, and one round joins what is near it. Rounds go on, with other hubs, while they halve
+the pairs left across components. What is left is paired by shingle, only across components, and only where the places of the
 shingle in the two sets leave room for the overlap that their sizes need: the first shingle that two partners share
 stands so early in both. No link is lost.
 
@@ -51,9 +51,9 @@ FREQUENT = 65_536
 SUMMARY = 8_192
 LEAST_FREQUENT = 32
 SALT = 4_096  # rows of a heavy shingle in one task
+SALTS = 16
 _TALLY = 300_000
 _CELLS = 1 << 21
-_HUB_ROUNDS = 8
 _BYTES = 2_000_000  # of texts that are hashed at a time
 _LONG_WORD = 64
 
@@ -299,24 +299,34 @@ def _postings(docs: DataFrame, text: str, seed: int, frequent: np.ndarray) -> Da
 
 
 def _met(postings: DataFrame) -> DataFrame:
-    """Postings whose shingle two classes or more have in their prefix, with ``df`` and whether it is ``heavy``."""
-    rare = postings.where("NOT often").repartition("token").dropDuplicates(["token", "cls"])
-    rare = rare.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
-    often = postings.where("often").dropDuplicates(["token", "cls"])
-    met = often.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # of the frequent shingles at most
-    often = often.join(F.broadcast(met), "token").where("df > 1")
-    cols = ["token", "cls", "n", "pos", "df", "often"]
-    return rare.select(*cols).unionByName(often.select(*cols)).withColumn("heavy", F.col("df") > LIGHT)
+    """Postings whose shingle two classes or more have in their prefix, with ``df`` and whether it is ``heavy``.
+
+    All shingles of the table of frequent ones are heavy, so that their rows can be dealt to ``SALTS`` tasks each; their
+    ``df`` is an estimate. The others are counted.
+    """
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("cls"), F.lit(SALTS))).otherwise(0).cast("int")
+    group = Window.partitionBy("token", "salt")
+    rows = postings.withColumn("salt", salt).repartition("token", "salt")
+    rows = rows.withColumn("before", F.lag("cls").over(group.orderBy("cls"))).where("before IS NULL OR before <> cls")
+    rows = rows.withColumn("df", F.count(F.lit(1)).over(group)).where("df > 1 OR often")
+    df = F.when(F.col("often"), F.greatest(F.col("df") * SALTS, F.lit(LIGHT + 1))).otherwise(F.col("df"))
+    return rows.select("token", "cls", "n", "pos", df.alias("df"), "often").withColumn("heavy", F.col("df") > LIGHT)
 
 
 def prefixes(docs: DataFrame, text: str, seed: int, frequent: np.ndarray) -> DataFrame:
-    """``_met`` under an order that has all heavy shingles late, as far as a table of bounded size can hold them."""
+    """``_met``, under an order that has the heavy shingles late.
+
+    Where the summaries missed so many heavy shingles that their pairs would cost more than the prefixes themselves, the
+    heaviest of them join the table, ``FREQUENT`` at most, and prefixes are taken again.
+    """
     met = stored(_met(_postings(docs, text, seed, frequent)), "met")
-    missed = _table(met.where("heavy AND NOT often").groupBy("token").agg(F.max("df").alias("times")))
-    if not len(missed):
+    missed = met.where("heavy AND NOT often").groupBy("token").agg(F.max("df").alias("times"))
+    idle = missed.agg(F.coalesce(F.sum(F.col("times") * F.col("times")), F.lit(0))).first()[0]
+    if idle <= 2 * LIGHT * met.count():
         return met
+    again = np.sort(np.concatenate([frequent, _table(missed)]), order="token")
     discard(met)
-    return stored(_met(_postings(docs, text, seed, np.sort(np.concatenate([frequent, missed]), order="token"))), "met")
+    return stored(_met(_postings(docs, text, seed, again)), "met")
 
 
 def _adapted(met: DataFrame) -> DataFrame:
@@ -383,16 +393,29 @@ def components(links: DataFrame) -> DataFrame:
             return labels.drop("moved")
 
 
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``labels`` after more links: only the components that these join are gone through again."""
+    if labels is None:
+        return components(links)
+    joins = _apart(links, labels, named=True)
+    if joins.limit(1).count() == 0:
+        return labels
+    over = components(joins)
+    moved = over.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return stored(old.unionByName(over.join(labels, "node", "left_anti")), "labels")
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """``rows`` with each class's component, or the class itself where it has none yet."""
     return rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) whose ends are not in one component yet."""
+def _apart(pairs: DataFrame, labels: DataFrame, named: bool = False) -> DataFrame:
+    """The pairs (a, b, ...) whose ends are not in one component yet; ``named`` gives their components as (a, b)."""
     la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("_la")), labels.select(F.col("node").alias("b"), F.col("label").alias("_lb"))
-    out = pairs.join(la, "a", "left").join(lb, "b", "left")
-    return out.where(F.coalesce("_la", "a") != F.coalesce("_lb", "b")).drop("_la", "_lb")
+    out = pairs.join(la, "a", "left").join(lb, "b", "left").withColumns({"_la": F.coalesce("_la", "a"), "_lb": F.coalesce("_lb", "b")}).where("_la <> _lb")
+    return out.select(F.col("_la").alias("a"), F.col("_lb").alias("b")) if named else out.drop("_la", "_lb")
 
 
 def _open(posts: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
@@ -444,6 +467,16 @@ def _left(rows: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _enough(pairs: DataFrame, posts: DataFrame) -> DataFrame:
+    """The pairs (a, b) without a candidate's light shingles that share as many heavy prefix shingles as they need."""
+    some = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    lists = posts.where("heavy").join(some, "cls", "left_semi").groupBy("cls", "n", "len").agg(F.collect_list("token").alias("often"))  # at most a prefix
+    side = lambda o: lists.select(F.col("cls").alias(o), F.col("n").alias(f"n{o}"), F.col("len").alias(f"l{o}"), F.col("often").alias(f"o{o}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    wanted = _overlap("na", "nb") - F.greatest(F.col("na") - F.col("la"), F.col("nb") - F.col("lb"))
+    return both.where(F.size(F.array_intersect("oa", "ob")) >= wanted).select("a", "b")
+
+
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, component_id, cls, label), a row for each row of ``docs``.
 
@@ -468,28 +501,30 @@ def _joined(docs: DataFrame, text: str, key: str) -> tuple[int, DataFrame]:
     sets = stored(_sets(docs, text, key, seed, classes.join(involved, "cls", "left_semi").select("key").distinct()), "sets")
 
     nobody = spark.createDataFrame([], "node long, label long")
-    hubs = nobody.select(F.col("node").alias("cls"))
-    pairs, labels, done, joined = light.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), nobody, None, True
-    for _ in range(_HUB_ROUNDS):
+    hubs, done = nobody.select(F.col("node").alias("cls")), None
+    labels, before = nobody, None
+    while True:
         rows_open, m, across = _open(posts, labels)
-        if done is not None and (across <= LIGHT * m // 2 or not joined):
+        # rounds end when few pairs are left, or when the last one joined little of what its shingles hold
+        if done is not None and (across <= LIGHT * m // 2 or 2 * across > before):
             break
         star = stored(_hubs(rows_open, hubs), "star")
         hubs = stored(hubs.unionByName(star.select(F.col("hub").alias("cls"))).distinct(), "hubs")
-        pairs = star.select("a", "b") if done is not None else star.select("a", "b").unionByName(pairs)
-        pairs = pairs.distinct() if done is None else pairs.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-        found = stored(_verify(pairs, sets), "verified")
-        joined = done is None or found.where("link").limit(1).count() > 0
-        done = found if done is None else done.unionByName(found)
-        if joined:
-            labels = components(done.where("link"))
+        if done is None:
+            least = light.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            done = stored(_verify(star.select("a", "b").unionByName(least).distinct(), sets), "verified")
+            labels = _merged(None, done.where("link"))
+        else:
+            found = stored(_verify(star.select("a", "b").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), sets), "verified")
+            labels = _merged(labels, found.where("link"))
+            done = done.unionByName(found)
         discard(rows_open, star)
-    else:
-        rows_open, _, _ = _open(posts, labels)
-    more = _apart(light.unionByName(_left(rows_open)).distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), labels)
-    second = stored(_verify(stored(more, "left"), sets), "verified")
-    labels = components(done.where("link").select("a", "b").unionByName(second.where("link").select("a", "b")))
-    discard(sets, posts, light, rows_open)
+        before = across
+    left = stored(_left(rows_open).join(light, ["a", "b"], "left_anti"), "left")
+    more = _apart(light.unionByName(_enough(left, posts)).join(done.select("a", "b"), ["a", "b"], "left_anti"), labels)
+    second = stored(_verify(stored(more, "more"), sets), "verified")
+    labels = _merged(labels, second.where("link"))
+    discard(sets, posts, light, rows_open, left)
 
     named = _labelled(classes, labels).select("cls", "key", "label")
     named = stored(named, "classes")

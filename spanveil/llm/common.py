@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -42,12 +43,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that ``stored`` gave and that nothing will read again; others are left alone."""
+    """Deletes tables that ``stored`` gave and that nothing will read again; others are left alone.
+
+    The driver then collects its garbage: Spark removes the shuffle files of steps whose plans are gone.
+    """
     for df in tables:
+        sc = df.sparkSession.sparkContext
         if path := getattr(df, "stored_path", None):
-            sc = df.sparkSession.sparkContext
             where = sc._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    if tables:
+        gc.collect()
+        sc._jvm.System.gc()
+
+
+#: Rows of a few numbers each, some 20 MB, that are broadcast; larger tables are shuffled.
+BROADCAST_ROWS = 400_000
+
+
+def small(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """``table``, a stored one of a few numeric columns, to be broadcast if its rows (or the bound given) are few enough."""
+    return F.broadcast(table) if (table.count() if rows is None else rows) <= BROADCAST_ROWS else table
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -23,7 +23,8 @@ if a shingle turns out heavy that the order took for rare, it joins the table an
 order decides costs only, never results.
 
 Scale: texts are read in narrow maps that hash whole batches of bytes at a time; what moves is the prefixes, about a
-fifth of the shingles at 24 bytes, and the sets of classes that have candidates, each once for each round that needs it.
+fifth of the shingles at 24 bytes, and the sets of classes that have candidates, once for each pair that a round verifies. Tables of ids and labels are
+broadcast while they are small, and shuffled beyond ``BROADCAST_ROWS``.
 The table of frequent shingles has ``FREQUENT`` rows at most from each of its two sources. Class keys are 64-bit hashes
 that one aggregation verifies against a second hash; if two sets share a key, the next seed is tried. Shingles are
 compared by 64-bit hash. Tables that no later step reads are deleted.
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanveil.llm.common import arrow_map, discard, stored, unused
+from spanveil.llm.common import arrow_map, discard, small, stored, unused
 
 WIDTH = 5
 LIGHT = 32
@@ -357,40 +358,44 @@ def _candidates(posts: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, text: str, key: str, seed: int, keys: DataFrame) -> DataFrame:
-    """(cls, tokens) of the documents with the given keys."""
+    """(cls, tokens) of the documents with the given keys, more than once for a class only where keys repeat."""
 
     def run(texts: pa.Array) -> dict:
         sets = [s for s in sets_of(texts) if len(s)]
         return {"cls": _signed(np.array([_class(s, seed) for s in sets], np.uint64)), "tokens": [s.view(np.int64) for s in sets]}
 
-    some = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("text")).join(keys, F.col("_k").eqNullSafe(F.col("key")), "left_semi")
-    return arrow_map(some, run, "cls long, tokens array<long>", "text", pieces=_slices).dropDuplicates(["cls"])
+    some = docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("text")).join(small(keys), F.col("_k").eqNullSafe(F.col("key")), "left_semi")
+    return arrow_map(some, run, "cls long, tokens array<long>", "text", pieces=_slices)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, link) of each pair, by whole sets; only the sets of these pairs move."""
-    left = sets.join(pairs.select(F.col("a").alias("cls")).distinct(), "cls", "left_semi")
-    got = pairs.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b").join(left.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a")
+    pairs = stored(pairs, "pairs")
+    n = pairs.count()
+    left = sets.join(small(pairs.select(F.col("a").alias("cls")).distinct(), n), "cls", "left_semi")
+    right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")).join(small(pairs, n), "b")
+    got = right.join(left.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a")
     same = F.size(F.array_intersect("ta", "tb"))
     got = got.select("a", "b", same.alias("same"), (F.size("ta") + F.size("tb")).alias("sum"))
-    return got.select("a", "b", (F.col("same") * 100 >= (F.col("sum") - F.col("same")) * 80).alias("link"))
+    out = stored(got.select("a", "b", (F.col("same") * 100 >= (F.col("sum") - F.col("same")) * 80).alias("link")), "verified")
+    discard(pairs)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of ``links`` (a, b) reaches, by neighbours' minima and jumps."""
     both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    n = labels.count()
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
-        jump = labels.select(F.col("node").alias("next"), F.col("label").alias("further"))
+        near = both.join(small(labels.select(F.col("node").alias("b"), "label"), n), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        new = labels.join(small(near, n), "node").select("node", "label", F.least("label", "near").alias("next"))
+        jump = small(labels.select(F.col("node").alias("next"), F.col("label").alias("further")), n)
         new = new.join(jump, "next", "left").select("node", F.least("next", F.coalesce("further", "next")).alias("label"), (F.least("next", F.coalesce("further", "next")) < F.col("label")).alias("moved"))
         new = stored(new, "labels")
-        discard(labels)
-        labels = new
         if new.where("moved").limit(1).count() == 0:
-            discard(both)
-            return labels.drop("moved")
+            return new.drop("moved")
+        labels = new
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -402,18 +407,19 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         return labels
     over = components(joins)
     moved = over.select(F.col("node").alias("label"), F.col("label").alias("to"))
-    old = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return stored(old.unionByName(over.join(labels, "node", "left_anti")), "labels")
+    old = labels.join(small(moved), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return stored(old.unionByName(over.join(small(labels), "node", "left_anti")), "labels")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """``rows`` with each class's component, or the class itself where it has none yet."""
-    return rows.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    return rows.join(small(labels.withColumnRenamed("node", "cls")), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame, named: bool = False) -> DataFrame:
     """The pairs (a, b, ...) whose ends are not in one component yet; ``named`` gives their components as (a, b)."""
-    la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("_la")), labels.select(F.col("node").alias("b"), F.col("label").alias("_lb"))
+    n = labels.count()
+    la, lb = small(labels.select(F.col("node").alias("a"), F.col("label").alias("_la")), n), small(labels.select(F.col("node").alias("b"), F.col("label").alias("_lb")), n)
     out = pairs.join(la, "a", "left").join(lb, "b", "left").withColumns({"_la": F.coalesce("_la", "a"), "_lb": F.coalesce("_lb", "b")}).where("_la <> _lb")
     return out.select(F.col("_la").alias("a"), F.col("_lb").alias("b")) if named else out.drop("_la", "_lb")
 
@@ -429,7 +435,7 @@ def _open(posts: DataFrame, labels: DataFrame) -> tuple[DataFrame, int, int]:
     sizes = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
     sums = sizes.groupBy("token").agg(F.max(F.struct("c", "label"))["label"].alias("top"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).where("m * m > q")
     sums = stored(sums, "open-shingles")
-    out = stored(rows.join(sums.select("token", "top"), "token"), "open")
+    out = stored(rows.join(small(sums.select("token", "top")), "token"), "open")
     m, pairs = sums.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0.0))).first()
     discard(sums)
     return out, int(m), int(pairs)
@@ -498,7 +504,11 @@ def _joined(docs: DataFrame, text: str, key: str) -> tuple[int, DataFrame]:
     light = stored(_candidates(posts), "candidates")
     classes = rows.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"))
     involved = light.select(F.col("a").alias("cls")).unionByName(light.select(F.col("b").alias("cls"))).unionByName(posts.where("heavy").select("cls")).distinct()
-    sets = stored(_sets(docs, text, key, seed, classes.join(involved, "cls", "left_semi").select("key").distinct()), "sets")
+    wanted = stored(classes.join(involved, "cls", "left_semi").select("key").distinct(), "wanted")
+    sets = stored(_sets(docs, text, key, seed, wanted), "sets")
+    if sets.count() > wanted.count():  # keys repeat
+        sets = stored(sets.dropDuplicates(["cls"]), "sets")
+    discard(wanted)
 
     nobody = spark.createDataFrame([], "node long, label long")
     hubs, done = nobody.select(F.col("node").alias("cls")), None
@@ -512,17 +522,17 @@ def _joined(docs: DataFrame, text: str, key: str) -> tuple[int, DataFrame]:
         hubs = stored(hubs.unionByName(star.select(F.col("hub").alias("cls"))).distinct(), "hubs")
         if done is None:
             least = light.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-            done = stored(_verify(star.select("a", "b").unionByName(least).distinct(), sets), "verified")
+            done = _verify(star.select("a", "b").unionByName(least).distinct(), sets)
             labels = _merged(None, done.where("link"))
         else:
-            found = stored(_verify(star.select("a", "b").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), sets), "verified")
+            found = _verify(star.select("a", "b").distinct().join(done.select("a", "b"), ["a", "b"], "left_anti"), sets)
             labels = _merged(labels, found.where("link"))
             done = done.unionByName(found)
         discard(rows_open, star)
         before = across
     left = stored(_left(rows_open).join(light, ["a", "b"], "left_anti"), "left")
     more = _apart(light.unionByName(_enough(left, posts)).join(done.select("a", "b"), ["a", "b"], "left_anti"), labels)
-    second = stored(_verify(stored(more, "more"), sets), "verified")
+    second = _verify(more, sets)
     labels = _merged(labels, second.where("link"))
     discard(sets, posts, light, rows_open, left)
 

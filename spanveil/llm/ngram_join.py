@@ -18,9 +18,9 @@ the pairs left across components. What is left is paired by shingle, only across
 shingle in the two sets leave room for the overlap that their sizes need: the first shingle that two partners share
 stands so early in both. No link is lost.
 
-The order knows which shingles are frequent from bounded summaries of all partitions, and from the prefixes themselves:
-if a shingle turns out heavy that the order took for rare, it joins the table and prefixes are taken again, once. The
-order decides costs only, never results.
+The order knows which shingles are frequent from bounded summaries of all partitions, and then from the prefixes of all
+classes: shingles that are heavy there though the summaries hold none of them join the table, before prefixes are taken
+for good. The order decides costs only, never results.
 
 Scale: texts are read in narrow maps that hash whole batches of bytes at a time; what moves is the prefixes, about a
 fifth of the shingles at 24 bytes, and the sets of classes that have candidates, once for each pair that a round verifies. Tables of ids and labels are
@@ -48,7 +48,7 @@ from spanveil.llm.common import arrow_map, discard, small, stored, unused
 WIDTH = 5
 LIGHT = 32
 MOST_MATCHES = 8
-FREQUENT = 65_536
+FREQUENT = 262_144
 SUMMARY = 8_192
 LEAST_FREQUENT = 32
 SALT = 4_096  # rows of a heavy shingle in one task
@@ -236,9 +236,9 @@ def describe(docs: DataFrame, text: str, key: str) -> tuple[int, DataFrame, np.n
 
 def _table(frequent: DataFrame) -> np.ndarray:
     """The ``FREQUENT`` most frequent rows (token, times), in the order of tokens."""
-    rows = frequent.orderBy(F.desc("times"), "token").limit(FREQUENT).collect()
-    out = np.zeros(len(rows), [("token", np.uint64), ("times", np.int64)])
-    out["token"], out["times"] = np.array([r.token for r in rows], np.int64).view(np.uint64), [r.times for r in rows]
+    rows = frequent.orderBy(F.desc("times"), "token").limit(FREQUENT).toArrow()
+    out = np.zeros(rows.num_rows, [("token", np.uint64), ("times", np.int64)])
+    out["token"], out["times"] = rows["token"].to_numpy().astype(np.int64).view(np.uint64), rows["times"].to_numpy()
     return np.sort(out, order="token")
 
 
@@ -256,45 +256,63 @@ def _overlap(na: str, nb: str) -> Column:
     return F.ceil((F.col(na) + F.col(nb)) * 4 / 9)
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, seed: int) -> Iterator[list[tuple[int, int, np.ndarray, int]]]:
+    """For the sets of a slice of texts, but those met before: class, size, longest prefix, and how many of it are not frequent."""
+    table, times = frequent["token"].copy(), frequent["times"].copy()
+    maybe = np.zeros(_CELLS, bool)
+    maybe[(table >> np.uint64(64 - 21)).astype(np.int64)] = True
+    seen: set[int] = set()
+    for batch in _slices(batches):
+        out = []
+        for s in sets_of(batch.column(0)):
+            if not len(s) or (c := _class(s, seed)) in seen:
+                continue
+            if len(seen) >= 500_000:
+                seen.clear()
+            seen.add(c)
+            size = min(len(s), len(s) - needed(len(s)) + MOST_MATCHES)
+            late = np.flatnonzero(maybe[(s >> np.uint64(64 - 21)).astype(np.int64)])
+            if len(late):
+                at = np.minimum(np.searchsorted(table, s[late]), len(table) - 1)
+                hit = table[at] == s[late]
+                late, at = late[hit], at[hit]
+            if len(late):
+                rare = np.ones(len(s), bool)
+                rare[late] = False
+                # ties are settled by the token, so that the order is one for all sets
+                late = late[np.argsort(times[at], kind="stable")]
+                out.append((c, len(s), np.concatenate([s[rare][:size], s[late]])[:size], min(size, int(rare.sum()))))
+            else:
+                out.append((c, len(s), s[:size], size))
+        if out:
+            yield out
+
+
+def _counted(docs: DataFrame, text: str, seed: int, frequent: np.ndarray) -> DataFrame:
+    """(token, times) of the shingles that are not in the table and heavy in the prefixes it gives."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _prefixes(batches, shared.value, seed):
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate([s[:rare] for _, _, s, rare in rows]))], names=["token"])
+
+    found = docs.select(F.col(f"`{text}`")).mapInArrow(run, "token long")
+    return found.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") > LIGHT)
+
+
 def _postings(docs: DataFrame, text: str, seed: int, frequent: np.ndarray) -> DataFrame:
     """(token, cls, n, pos, often) of the longest prefix that a class may take, at least once for each class."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    names = ["token", "cls", "n", "pos", "often"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, times = shared.value["token"].copy(), shared.value["times"].copy()
-        maybe = np.zeros(_CELLS, bool)
-        maybe[(table >> np.uint64(64 - 21)).astype(np.int64)] = True
-        seen: set[int] = set()
-        for batch in _slices(batches):
-            tokens, cls, n, pos, often = [], [], [], [], []
-            for s in sets_of(batch.column(0)):
-                if not len(s) or (c := _class(s, seed)) in seen:
-                    continue
-                if len(seen) >= 500_000:
-                    seen.clear()
-                seen.add(c)
-                size = min(len(s), len(s) - needed(len(s)) + MOST_MATCHES)
-                cls.append(np.full(size, c, np.uint64))
-                n.append(np.full(size, len(s), np.int32))
-                pos.append(np.arange(size, dtype=np.int32))
-                late = np.flatnonzero(maybe[(s >> np.uint64(64 - 21)).astype(np.int64)])
-                if len(late):
-                    at = np.minimum(np.searchsorted(table, s[late]), len(table) - 1)
-                    hit = table[at] == s[late]
-                    late, at = late[hit], at[hit]
-                if len(late):
-                    rare = np.ones(len(s), bool)
-                    rare[late] = False
-                    # ties are settled by the token, so that the order is one for all sets
-                    late = late[np.argsort(times[at], kind="stable")]
-                    s = np.concatenate([s[rare][:size], s[late]])[:size]
-                    often.append(np.arange(size) >= rare.sum())
-                else:
-                    s = s[:size]
-                    often.append(np.zeros(size, bool))
-                tokens.append(s)
-            if tokens:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), _signed(np.concatenate(cls)), pa.array(np.concatenate(n)), pa.array(np.concatenate(pos)), pa.array(np.concatenate(often))], names=["token", "cls", "n", "pos", "often"])
+        for rows in _prefixes(batches, shared.value, seed):
+            sizes = [len(s) for _, _, s, _ in rows]
+            cls = np.repeat(np.array([c for c, _, _, _ in rows], np.uint64), sizes)
+            n = np.repeat(np.array([n for _, n, _, _ in rows], np.int32), sizes)
+            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
+            often = pos >= np.repeat(np.array([rare for _, _, _, rare in rows], np.int32), sizes)
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate([s for _, _, s, _ in rows])), _signed(cls), pa.array(n), pa.array(pos), pa.array(often)], names=names)
 
     return docs.select(F.col(f"`{text}`")).mapInArrow(run, "token long, cls long, n int, pos int, often boolean")
 
@@ -315,19 +333,9 @@ def _met(postings: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, text: str, seed: int, frequent: np.ndarray) -> DataFrame:
-    """``_met``, under an order that has the heavy shingles late.
-
-    Where the summaries missed so many heavy shingles that their pairs would cost more than the prefixes themselves, the
-    heaviest of them join the table, ``FREQUENT`` at most, and prefixes are taken again.
-    """
-    met = stored(_met(_postings(docs, text, seed, frequent)), "met")
-    missed = met.where("heavy AND NOT often").groupBy("token").agg(F.max("df").alias("times"))
-    idle = missed.agg(F.coalesce(F.sum(F.col("times") * F.col("times")), F.lit(0))).first()[0]
-    if idle <= 2 * LIGHT * met.count():
-        return met
-    again = np.sort(np.concatenate([frequent, _table(missed)]), order="token")
-    discard(met)
-    return stored(_met(_postings(docs, text, seed, again)), "met")
+    """``_met``, under an order that has late what is frequent in a partition or heavy in the prefixes of all."""
+    missed = _table(_counted(docs, text, seed, frequent))
+    return stored(_met(_postings(docs, text, seed, np.sort(np.concatenate([frequent, missed]), order="token"))), "met")
 
 
 def _adapted(met: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanveil.llm.common import SPACES, arrow_map, stored
+from spanveil.llm.common import SPACES, arrow_map, stored, unused
 
 LEAST, MEAN, MOST = 256, 1024, 8192  # bytes of a chunk
 _REACH = 8
@@ -93,7 +93,7 @@ def mark(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, keep_id, group_size, kept, text_sha256), a row for each row of ``docs``.
 
     Texts are equal if they are identical without white space; null texts are empty, and empty texts equal each
-    other. Of each group the row with the most characters stays, then the smallest key, nulls last. Rows that repeat
+    other. Of each group the row with the most characters stays, then the smallest key, of whatever type that has an order, nulls last. Rows that repeat
     a key with an equal text are all marked kept if that key stays; ``dedup`` keeps one of them. An empty table gives
     no rows; other columns are not read.
 
@@ -101,9 +101,9 @@ def mark(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     skewed join key, which Spark's adaptive execution splits.
     """
     rows = stored(recipes(docs, text, key).withColumnRenamed(key, "key"), "recipes")
-    best = F.max(F.struct(F.col("n_chars"), F.col("key").isNotNull().alias("known"), (-F.col("key")).alias("low")))
+    best = F.min(F.struct((-F.col("n_chars")).alias("chars"), F.col("key").isNull().alias("unknown"), "key"))
     groups = rows.groupBy("recipe").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best")).where("group_size > 1")
-    groups = stored(groups.select("recipe", "group_size", (-F.col("best.low")).alias("keep"), F.lit(True).alias("shared")), "groups")
+    groups = stored(groups.select("recipe", "group_size", F.col("best.key").alias("keep"), F.lit(True).alias("shared")), "groups")
     out = rows.join(groups, "recipe", "left")
     keep = F.when(F.col("shared"), F.col("keep")).otherwise(F.col("key"))
     return out.select(F.col("key").alias(key), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("key").eqNullSafe(keep).alias("kept"), "text_sha256")
@@ -112,23 +112,25 @@ def mark(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows leave by an anti join on the keys that go. Keys that are null or repeat can't name a row; their rows, few
+    Columns of any names pass through. Rows leave by an anti join on the keys that go. Keys that are null or repeat can't name a row; their rows, few
     as a rule, are compared by digest and one of each key and text stays.
     """
-    marks = stored(mark(docs, text, key), "marks")
-    names = marks.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"), F.max("kept").alias("_kept"))
-    odd = names.where("_n > 1 OR _key IS NULL").select("_key")
-    gone = stored(names.where("_n > 1 OR _key IS NULL OR NOT _kept").select("_key", "_n"), "gone")
-    plain = docs.join(gone.select("_key"), docs[key].eqNullSafe(F.col("_key")), "left_anti")
-    if gone.where("_n > 1 OR _key IS NULL").limit(1).count() == 0:
+    k, sha, kept, row = unused(docs, "key", "sha", "kept", "row")
+    own, body = F.col(f"`{key}`"), F.col(f"`{text}`")
+    marks = stored(mark(docs, text, key), "marks").withColumnRenamed(key, k)
+    names = marks.groupBy(k).agg(F.count(F.lit(1)).alias("times"), F.max("kept").alias("stays"))
+    odd = names.where(f"times > 1 OR {k} IS NULL").select(k)
+    gone = stored(names.where(f"times > 1 OR {k} IS NULL OR NOT stays").select(k, "times"), "gone")
+    plain = docs.join(gone.select(k), own.eqNullSafe(F.col(k)), "left_anti")
+    if gone.where(f"times > 1 OR {k} IS NULL").limit(1).count() == 0:
         return plain
 
-    sha = F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]", "").cast("binary"), 256)
-    again = docs.join(odd, docs[key].eqNullSafe(F.col("_key")), "left_semi").withColumn("_sha", sha)
-    stay = marks.where("kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_text")).distinct()
-    again = again.join(stay, again[key].eqNullSafe(F.col("_key")) & (F.col("_sha") == F.col("_text")), "left_semi")
-    order = Window.partitionBy(key, "_sha").orderBy(F.length(text).desc_nulls_last(), *[F.col(f"`{c}`") for c in docs.columns])
-    again = again.withColumn("_row", F.row_number().over(order)).where("_row = 1")
+    again = docs.join(odd, own.eqNullSafe(F.col(k)), "left_semi")
+    again = again.withColumn(sha, F.sha2(F.regexp_replace(F.coalesce(body, F.lit("")), r"[\x20\x09-\x0D]", "").cast("binary"), 256))
+    stay = marks.where("kept").select(k, F.col("text_sha256").alias(kept)).distinct()
+    again = again.join(stay, own.eqNullSafe(F.col(k)) & (F.col(sha) == F.col(kept)), "left_semi")
+    order = Window.partitionBy(own, sha).orderBy(F.length(body).desc_nulls_last(), *[F.col(f"`{c}`") for c in docs.columns])
+    again = again.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1)
     return plain.unionByName(again.select(*[f"`{c}`" for c in docs.columns]))
 
 

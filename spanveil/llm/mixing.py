@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanveil.llm.common import stored
+from spanveil.llm.common import stored, unused
 
 BIN = 4000
 MOST_EPOCHS = 3
@@ -36,7 +36,8 @@ def targets(sources: DataFrame) -> DataFrame:
     """``sources`` (source, source_size) with weight and target.
 
     Closed form of the repeated sharing: in the order of their cap by weight, sources are capped while the rest,
-    shared over the weights not yet capped, would pass their cap. One row a source: one task takes them all.
+    shared over the weights not yet capped, would pass their cap. One row a source: one task takes them all, and spills where they
+    are very many.
     """
     everything = Window.partitionBy(F.lit(0))
     place = F.row_number().over(everything.orderBy(F.col("source").isNull(), F.col("source").cast("binary")))
@@ -97,24 +98,24 @@ def ordered(docs: DataFrame, text: str = "text", key: str = "doc_id", source: st
     """The training set: rows of ``docs`` with all their columns, once for each copy taken, range-sorted by position.
 
     Keys that repeat are told apart by size and source; rows equal in all three are interchangeable, so each is given
-    the positions of one of them.
+    the positions of one of them. Null keys and sources are values like others; null and wordless texts are never taken;
+    an empty table gives no rows. Columns of any names pass through. Written, the order is that of the files' names and
+    of the rows in them (``_metadata.file_name``, ``_metadata.row_index``); readers may take files in another one.
     """
+    k, s, z, all_, rows_, row, at = unused(docs, "key", "source", "size", "all", "rows", "row", "at")
     id_, size_, source_ = F.col(f"`{key}`"), words(F.col(f"`{text}`")), F.col(f"`{source}`")
-    places = assign(docs, text, key, source).where("epochs > 0")
-    places = places.select(F.col(key).alias("_key"), F.col(source).alias("_source"), F.col("size").alias("_size"), F.explode("positions").alias("_at"))
-    lots = places.groupBy("_key", "_source", "_size").agg(F.sort_array(F.collect_list("_at")).alias("_all"))
-    names = docs.groupBy(id_.alias("_key"), source_.alias("_source"), size_.alias("_size")).agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
-    names = names.withColumnsRenamed({"_key": "_k", "_source": "_s", "_size": "_z"})
-    lots = lots.join(names, F.col("_key").eqNullSafe(F.col("_k")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")), "left")
-    lots = stored(lots.select("_key", "_source", "_size", "_all", F.coalesce("_rows", F.lit(1)).alias("_rows")), "lots")
-    met = lambda some: docs.join(some, id_.eqNullSafe(F.col("_key")) & source_.eqNullSafe(F.col("_source")) & (size_ == F.col("_size")))
-    all_ = met(lots.where("_rows = 1")).withColumn("_row", F.lit(1))
-    if lots.where("_rows > 1").limit(1).count():
-        nth = Window.partitionBy("_key", "_source", "_size").orderBy(F.xxhash64(text))
-        all_ = all_.unionByName(met(lots.where("_rows > 1")).withColumn("_row", F.row_number().over(nth)))
-    mine = F.filter(F.col("_all"), lambda x, i: (i % F.col("_rows") + 1) == F.col("_row"))
-    out = all_.withColumn("_at", F.explode(mine))
-    return out.repartitionByRange(F.col("_at"), id_).sortWithinPartitions("_at", id_).select(*[f"`{c}`" for c in docs.columns])
+    places = assign(docs, text, key, source)
+    # of rows alike in key, source and size, each takes the positions of one; their number comes with them
+    lots = places.groupBy(F.col(f"`{key}`").alias(k), F.col(f"`{source}`").alias(s), F.col("size").alias(z)).agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias(all_), F.count(F.lit(1)).alias(rows_))
+    lots = stored(lots.where(F.size(all_) > 0), "lots")
+    met = lambda some: docs.join(some, id_.eqNullSafe(F.col(k)) & source_.eqNullSafe(F.col(s)) & (size_ == F.col(z)))
+    out = met(lots.where(F.col(rows_) == 1)).withColumn(row, F.lit(1))
+    if lots.where(F.col(rows_) > 1).limit(1).count():
+        nth = Window.partitionBy(k, s, z).orderBy(F.xxhash64(F.col(f"`{text}`")))
+        out = out.unionByName(met(lots.where(F.col(rows_) > 1)).withColumn(row, F.row_number().over(nth)))
+    mine = F.filter(F.col(all_), lambda x, i: (i % F.col(rows_) + 1) == F.col(row))
+    out = out.withColumn(at, F.explode(mine))
+    return out.repartitionByRange(F.col(at), id_).sortWithinPartitions(at, id_).select(*[f"`{c}`" for c in docs.columns])
 
 
 ORACLE = r"""

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import Cache, fold
+from spanveil.llm.common import Cache, fold, unused
 
 POSITIVES = 4_000
 UNLABELLED = 16_000
@@ -108,30 +108,34 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(float(b), chosen, w, prior)
 
 
-def _slots(docs: DataFrame, text: str) -> list[np.ndarray]:
-    """The word slots of each document of a bounded sample, made on the executors."""
+def _slots(docs: DataFrame, text: str, key: str, most: int) -> list[np.ndarray]:
+    """The word slots of each document of a sample, made on the executors; ``most`` rows at most, the first by a hash."""
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([sorted({slot(w) for w in words(t)}) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-    rows = docs.select(run(F.col(f"`{text}`")).alias("slots")).toArrow()
+    place = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    rows = docs.select(place.alias("place"), run(F.col(f"`{text}`")).alias("slots")).orderBy("place").limit(most).toArrow()
     return [np.asarray(x.values, np.int32) for x in rows["slots"] if len(x)]
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
     """The classifier, from the given labels only. Null keys and labels are ignored; a document with several labels is
-    toxic if one of them says so. Without labels the prior is 0.5 per mille and all scores are alike."""
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max((F.col(label) == 1).cast("int")).alias("_toxic"))
-    n, toxic = known.agg(F.count(F.lit(1)), F.sum("_toxic")).first()
+    toxic if one of them says so. Without labels the prior is 0.5 per mille and all scores are alike. However often a key
+    repeats, no more than twice ``POSITIVES`` and ``UNLABELLED`` rows reach the driver; ties of the hash that chooses
+    them are equal rows."""
+    k = unused(docs, "key")[0]
+    known = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias(k)).agg(F.max((F.col(f"`{label}`") == 1).cast("int")).alias("toxic"))
+    n, toxic = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     toxic = toxic or 0
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(2**31))
     below = lambda most, all_: int(2**31 * min(1.0, most / max(1, all_)))
-    ids = known.where("_toxic = 1").where(place("_key") < below(POSITIVES, toxic)).select("_key").limit(2 * POSITIVES)
-    positive = docs.join(F.broadcast(ids), docs[key] == F.col("_key"), "left_semi")
+    ids = known.where("toxic = 1").where(place(F.col(k)) < below(POSITIVES, toxic)).select(k).limit(2 * POSITIVES)
+    positive = docs.join(F.broadcast(ids), F.col(f"`{key}`") == F.col(k), "left_semi")
     rows = docs.count()
     unlabelled = docs.where(place(F.col(f"`{key}`")) < below(UNLABELLED, rows))
-    return fit(_slots(positive, text), _slots(unlabelled, text), toxic / n if n else 0.0005)
+    return fit(_slots(positive, text, key, 2 * POSITIVES), _slots(unlabelled, text, key, 2 * UNLABELLED), toxic / n if n else 0.0005)
 
 
 @lru_cache(maxsize=2)
@@ -155,16 +159,16 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     """(key, held_out, score, predicted) of every row; the model learns from the labels of the other folds only.
 
     Rows that repeat a key are scored each; null keys, whose fold is unknown, are held out. Other columns are not read.
-    An empty table gives no rows, empty labels give all rows one low score.
+    An empty table gives no rows, empty labels give all rows one low score. A text is scored whole, however long.
     """
     held = lambda c: F.coalesce(fold(c) % 4 == 2, F.lit(True))
-    model = train(docs.where(~held(docs[key])), labels.where(~held(labels[key])), text, key, label)
-    rows = docs.select(F.col(f"`{key}`").alias(key), held(docs[key]).alias("held_out"), score(model, F.col(f"`{text}`")).alias("score"))
+    model = train(docs.where(~held(F.col(f"`{key}`"))), labels.where(~held(F.col(f"`{key}`"))), text, key, label)
+    rows = docs.select(F.col(f"`{key}`").alias(key), held(F.col(f"`{key}`")).alias("held_out"), score(model, F.col(f"`{text}`")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """The rows of ``docs`` whose score is under the threshold, with all their columns."""
+    """The rows of ``docs`` whose score is under the threshold, with all their columns, whatever these are called."""
     held = lambda c: F.coalesce(fold(c) % 4 == 2, F.lit(True))
-    model = train(docs.where(~held(docs[key])), labels.where(~held(labels[key])), text, key, label)
+    model = train(docs.where(~held(F.col(f"`{key}`"))), labels.where(~held(F.col(f"`{key}`"))), text, key, label)
     return docs.where(score(model, F.col(f"`{text}`")) < THRESHOLD)

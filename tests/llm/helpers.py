@@ -24,6 +24,6 @@ def clashing(df):
     """Extra columns with names that operators use themselves."""
     from pyspark.sql import functions as F
 
-    for name in ("key", "ids", "n", "hash", "size", "token", "score", "bucket", "position", "kept", "component_id", "n_tokens"):
+    for name in ("key", "ids", "n", "hash", "size", "token", "score", "bucket", "position", "kept", "component_id", "n_tokens", "_key", "_k", "_all", "_rows", "_n", "_source", "_size", "_row", "_cls", "_at", "_sha", "_kept"):
         df = df.withColumn(name, F.lit("clash"))
     return df

@@ -43,7 +43,7 @@ UPDATES = 400
 ROUNDS = 4
 CHUNKS = 32
 RATE = 0.02  # of the first round; the last has a quarter
-TRAINED = 64  # lanes of training
+TRAINED = 256  # lanes of training: as many as keep a step's arrays in a core's cache
 BUFFER = 262_144  # tokens that a training task gathers before it deals them to lanes
 LANES = 256
 FREQUENT = 131_072
@@ -88,79 +88,124 @@ class GRU:
     def parts(self) -> list[np.ndarray]:
         return [self.wx, self.u, self.wc, self.bc, self.wo, self.bo]
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        a, g, n = self.wx[x], h @ self.u, HIDDEN
-        zr = 1 / (1 + np.exp(-(a[:, : 2 * n] + g[:, : 2 * n])))
-        z, r = zr[:, :n], zr[:, n:]
-        new = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
-        return new + z * (h - new), z, r, new, g[:, 2 * n :]
+    def step(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The state after ``h``, with gates, candidate and the recurrent part of it; ``a`` are rows of ``wx``."""
+        g, n = h @ self.u, HIDDEN
+        zr = a[:, : 2 * n] + g[:, : 2 * n]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, gn = zr[:, :n], g[:, 2 * n :]
+        new = zr[:, n:] * gn
+        new += a[:, 2 * n :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= z
+        out += new
+        return out, zr, new, gn
+
+    def _outputs(self, h: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray, slice, np.ndarray, np.ndarray]]:
+        """Class by class: the class, which rows, their places in that order, their states and outputs within the class."""
+        cls = y % CLASSES
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        sorted_h, idx = h[order], (y // CLASSES)[order]
+        for c in range(CLASSES):
+            at = slice(edge[c], edge[c + 1])
+            if edge[c] < edge[c + 1]:
+                yield c, order, at, sorted_h[at], idx[at]
 
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probabilities of outputs ``y`` after states ``h``, computed class by class."""
-        cls, idx = y % CLASSES, y // CLASSES
         lc = h @ self.wc + self.bc
-        out = lc[np.arange(len(y)), cls] - _lse(lc)
-        order = np.argsort(cls, kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[edge[c] : edge[c + 1]]
-            if len(at):
-                lo = h[at] @ self.wo[c] + self.bo[c]
-                out[at] += lo[np.arange(len(at)), idx[at]] - _lse(lo)
+        out = lc[np.arange(len(y)), y % CLASSES] - _lse(lc)
+        for c, order, at, states, idx in self._outputs(h, y):
+            lo = states @ self.wo[c] + self.bo[c]
+            out[order[at]] += lo[np.arange(len(idx)), idx] - _lse(lo)
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
         """Mean loss, gradients and last state of a window; ``x``, ``y``, ``fresh`` are (steps, lanes)."""
         steps, lanes = x.shape
-        n = HIDDEN
-        kept, states = [], []
+        n, kind = HIDDEN, self.wx.dtype
+        rows = self.wx[x]
+        befores, states = np.empty((steps, lanes, n), kind), np.empty((steps, lanes, n), kind)
+        kept = []
         for t in range(steps):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            new, z, r, cand, gn = self.step(x[t], h)
-            kept.append((h, z, r, cand, gn))
-            states.append(new)
-            h = new
-        flat, target = np.concatenate(states), y.ravel()
-        cls, idx = target % CLASSES, target // CLASSES
-        rows = np.arange(len(target))
+            if fresh[t].any():
+                h = np.where(fresh[t][:, None], kind.type(0), h)
+            befores[t] = h
+            h, zr, cand, gn = self.step(rows[t], h)
+            kept.append((zr, cand, gn))
+            states[t] = h
+        flat, target = states.reshape(-1, n), y.ravel()
+        cls = target % CLASSES
+        every = np.arange(len(target))
         lc = flat @ self.wc + self.bc
-        pc = np.exp(lc - _lse(lc)[:, None])
-        loss = -np.log(pc[rows, cls] + 1e-30)
-        pc[rows, cls] -= 1
+        pc, total = _exps(lc)
+        loss = np.log(total) - np.log(pc[every, cls] + kind.type(1e-30))
+        pc /= total[:, None]
+        pc[every, cls] -= 1
         dwc, dbc, dflat = flat.T @ pc, pc.sum(0), pc @ self.wc.T
         dwo, dbo = np.zeros_like(self.wo), np.zeros_like(self.bo)
-        for c in range(CLASSES):
-            at = np.flatnonzero(cls == c)
-            if len(at):
-                lo = flat[at] @ self.wo[c] + self.bo[c]
-                po = np.exp(lo - _lse(lo)[:, None])
-                loss[at] -= np.log(po[np.arange(len(at)), idx[at]] + 1e-30)
-                po[np.arange(len(at)), idx[at]] -= 1
-                dwo[c], dbo[c] = flat[at].T @ po, po.sum(0)
-                dflat[at] += po @ self.wo[c].T
+        back = np.empty_like(flat)
+        order = every
+        for c, order, at, part, idx in self._outputs(flat, target):
+            po, total = _exps(part @ self.wo[c] + self.bo[c])
+            mine = every[: len(idx)]
+            loss[order[at]] += np.log(total) - np.log(po[mine, idx] + kind.type(1e-30))
+            po /= total[:, None]
+            po[mine, idx] -= 1
+            dwo[c], dbo[c] = part.T @ po, po.sum(0)
+            back[at] = po @ self.wo[c].T
+        dflat[order] += back
         dflat = dflat.reshape(steps, lanes, n)
-        du, dwx, dh = np.zeros_like(self.u), np.zeros_like(self.wx), np.zeros((lanes, n), np.float32)
-        inputs = np.empty((steps, lanes, 3 * n), flat.dtype)
+        dh = np.zeros((lanes, n), kind)
+        inputs, inner = np.empty((steps, lanes, 3 * n), kind), np.empty((steps, lanes, 3 * n), kind)
+        ut = np.ascontiguousarray(self.u.T)
         for t in range(steps - 1, -1, -1):
-            before, z, r, cand, gn = kept[t]
+            zr, cand, gn = kept[t]
+            z, r = zr[:, :n], zr[:, n:]
             dh = dh + dflat[t]
-            dn = dh * (1 - z) * (1 - cand * cand)
-            dz = dh * (before - cand) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            da = np.concatenate([dz, dr, dn], 1)
-            dg = np.concatenate([dz, dr, dn * r], 1)
-            du += before.T @ dg
-            inputs[t] = da
-            dh = dh * z + dg @ self.u.T
-            dh[fresh[t]] = 0
-        order = np.argsort(x, axis=None, kind="stable")
+            da, dg = inputs[t], inner[t]
+            keep = dh * z
+            dn = dh - keep
+            dn *= 1 - cand * cand
+            da[:, 2 * n :] = dn
+            np.multiply(dn, r, out=dg[:, 2 * n :])
+            gates = zr - zr * zr
+            np.multiply(dh * (befores[t] - cand), gates[:, :n], out=da[:, :n])
+            np.multiply(dn * gn, gates[:, n:], out=da[:, n : 2 * n])
+            dg[:, : 2 * n] = da[:, : 2 * n]
+            dh = dg @ ut
+            dh += keep
+            if fresh[t].any():
+                dh[fresh[t]] = 0
+        du = befores.reshape(-1, n).T @ inner.reshape(-1, 3 * n)
+        dwx = np.zeros_like(self.wx)
+        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
         seen, first = np.unique(x.ravel()[order], return_index=True)
         dwx[seen] = np.add.reduceat(inputs.reshape(-1, 3 * n)[order], first, axis=0)
-        size = np.float32(len(target))
+        size = kind.type(len(target))
         return float(loss.mean()), [g / size for g in (dwx, du, dwc, dbc, dwo, dbo)], h
 
 
+def _exps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of a table but for a factor of each row, and the sums of its rows."""
+    e = np.exp(x - x.max())
+    total = e @ np.ones(x.shape[1], x.dtype)
+    if not (total > 1e-25).all():  # rows far below the largest
+        e = np.exp(x - x.max(1)[:, None])
+        total = e.sum(1)
+    return e, total
+
+
 def _lse(x: np.ndarray) -> np.ndarray:
+    m = x.max()
+    total = np.exp(x - m) @ np.ones(x.shape[1], x.dtype)
+    if (total > 1e-25).all():
+        return np.log(total) + m
     m = x.max(1)
     return m + np.log(np.exp(x - m[:, None]).sum(1))
 
@@ -311,11 +356,11 @@ def whole_texts(gru: GRU, texts: list[np.ndarray], lanes: int = LANES) -> np.nda
         x = np.concatenate([last[:live, None], y[:, :-1]], 1)
         h, last = h[:live], y[:, -1]
         states = np.empty((size, live, HIDDEN), np.float32)
+        rows, fresh = gru.wx[x.T], x.T == END
         for t in range(size):
-            new = x[:, t] == END
-            if new.any():
-                h = np.where(new[:, None], np.float32(0), h)
-            h = gru.step(x[:, t], h)[0]
+            if fresh[t].any():
+                h = np.where(fresh[t][:, None], np.float32(0), h)
+            h = gru.step(rows[t], h)[0]
             states[t] = h
         who = who.T.ravel()
         got = gru.log_probs(states.reshape(-1, HIDDEN), y.T.ravel())

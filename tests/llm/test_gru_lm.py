@@ -51,7 +51,7 @@ def test_state_is_carried_through_whole_texts():
     def plain(t):
         h, last, total = np.zeros((1, HIDDEN), np.float32), np.array([END]), 0.0
         for y in t:
-            h = gru.step(last, h)[0]
+            h = gru.step(gru.wx[last], h)[0]
             last = np.array([y])
             total += float(gru.log_probs(h, last)[0])
         return total

@@ -1,11 +1,14 @@
 """What follows matching, as built-in expressions over arrays of matches, ranges and segments.
 
-Offsets here are code points, as Spark's string functions count; for texts without characters beyond U+FFFF these are
-UTF-16 offsets too. Ranges are structs (start, end, rule_ids).
+Offsets are UTF-16 code units, as the engine gives them. Spark's string functions count code points, which is the same in
+texts without characters beyond U+FFFF; other texts are cut as UTF-16 bytes. Whether a text needs that is asked once a
+row. Ranges are structs (start, end, rule_ids).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,21 +17,64 @@ MASKS = ("asterisk", "grawlix", "scrawl", "bar", "blur", "whiteout", "mosaic")
 GRAWLIX = "@#$%&!"  # fixed values: the signs of a grawlix, in their order
 
 
+#: Characters beyond U+FFFF, and whatever may not be one grapheme a code point.
+_WIDE, _COMPLEX = r"[\x{10000}-\x{10FFFF}]", r"[^\x{00}-\x{2FF}]|\r\n"
+
+
+def units(text: Column) -> Column:
+    """The length of ``text`` in UTF-16 code units."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
+def in_units(text: Column, made: Callable[[Callable[[Column, Column], Column], Column], Column]) -> Column:
+    """``made(cut, n)``, where ``cut(a, b)`` is the text between two UTF-16 offsets and ``n`` its length in them."""
+    plain = made(lambda a, b: F.substring(text, a + 1, b - a), F.length(text))
+    # the array of one element names the bytes, so that they are made once a row
+    raw = F.array(F.encode(text, "UTF-16BE"))
+    wide = F.transform(raw, lambda x: made(lambda a, b: F.decode(F.substring(x, a * 2 + 1, (b - a) * 2), "UTF-16BE"), (F.octet_length(x) / 2).cast("int")))
+    return F.when(text.rlike(_WIDE), F.get(wide, F.lit(0))).otherwise(plain)
+
+
+def graphemes(text: Column) -> Column:
+    """The extended grapheme clusters of ``text``."""
+    return F.regexp_extract_all(text, F.lit(r"\X"), F.lit(0))
+
+
+def n_graphemes(text: Column) -> Column:
+    return F.when(text.rlike(_COMPLEX), F.size(graphemes(text))).otherwise(F.length(text))
+
+
 def full_covers(matches: Column) -> Column:
     """One range per match: its whole target."""
     return F.transform(matches, lambda m: F.struct(m["target_start"].alias("start"), m["target_end"].alias("end"), F.array(m["rule_id"]).alias("rule_ids")))
 
 
 def preset_covers(matches: Column, preset: str) -> Column:
-    """Ranges of a preset for targets whose graphemes are single code points, as in Latin text in composed form."""
+    """Ranges of a preset, from grapheme to grapheme; targets too short for it are covered whole."""
 
-    def cover(m: Column) -> Column:
-        n = m["target_end"] - m["target_start"]
+    def place(n: Column) -> tuple[Column, Column]:
+        """First and after the last grapheme covered of ``n``."""
         half = F.ceil(n / 2).cast("int")
         skip, size = {"full": (F.lit(0), n), "tail": (F.lit(1), n - 1), "inner": (F.lit(1), n - 2), "middle": (F.floor((n - half) / 2).cast("int"), half)}[preset]
         short = n <= {"full": 0, "tail": 1, "inner": 2, "middle": 1}[preset]
-        start = m["target_start"] + F.when(short, 0).otherwise(skip)
-        return F.struct(start.alias("start"), (start + F.when(short, n).otherwise(size)).alias("end"), F.array(m["rule_id"]).alias("rule_ids"))
+        first = F.when(short, 0).otherwise(skip)
+        return first, first + F.when(short, n).otherwise(size)
+
+    def complex_(m: Column) -> Column:
+        def sized(sizes: Column) -> Column:
+            upto = lambda k: F.aggregate(F.slice(sizes, 1, k), m["target_start"], lambda a, x: a + x)
+            first, after = place(F.size(sizes))
+            return F.struct(upto(first).alias("start"), upto(after).alias("end"))
+
+        return F.get(F.transform(F.array(F.transform(graphemes(m["target_text"]), units)), sized), F.lit(0))
+
+    def plain(m: Column) -> Column:
+        first, after = place(m["target_end"] - m["target_start"])
+        return F.struct((m["target_start"] + first).alias("start"), (m["target_start"] + after).alias("end"))
+
+    def cover(m: Column) -> Column:
+        at = plain(m) if preset == "full" else F.when(m["target_text"].rlike(_COMPLEX), complex_(m)).otherwise(plain(m))
+        return F.struct(at["start"].alias("start"), at["end"].alias("end"), F.array(m["rule_id"]).alias("rule_ids"))
 
     return F.transform(matches, cover)
 
@@ -52,15 +98,18 @@ def merge(ranges: Column, touching: bool = False) -> Column:
 
 def segments(text: Column, merged: Column, inverse: bool = False) -> Column:
     """The exact partition of ``text`` by merged ranges; ``inverse`` covers what lies between them instead."""
-    n = F.length(text)
-    point = lambda at: F.struct(at.cast("int").alias("start"), at.cast("int").alias("end"), F.array().cast("array<string>").alias("rule_ids"))
-    stops = F.concat(merged, F.array(point(n)))
-    before = F.concat(F.array(F.lit(0)), F.transform(merged, lambda r: r["end"]))
-    part = lambda a, b, on, ids: F.struct(F.substring(text, a + 1, b - a).alias("text"), (F.lit(on) != F.lit(inverse)).alias("covered"), ids.alias("rule_ids"), a.alias("start"), b.alias("end"))
     none = F.array().cast("array<string>")
-    pairs = F.flatten(F.zip_with(before, stops, lambda e, r: F.array(part(e, r["start"], False, none), part(r["start"], r["end"], True, r["rule_ids"]))))
-    kept = F.filter(pairs, lambda s: s["end"] > s["start"])
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(part(F.lit(0), n, False, none)))
+
+    def made(cut, n: Column) -> Column:
+        point = lambda at: F.struct(at.cast("int").alias("start"), at.cast("int").alias("end"), none.alias("rule_ids"))
+        stops = F.concat(merged, F.array(point(n)))
+        before = F.concat(F.array(F.lit(0)), F.transform(merged, lambda r: r["end"]))
+        part = lambda a, b, on, ids: F.struct(cut(a, b).alias("text"), (F.lit(on) != F.lit(inverse)).alias("covered"), ids.alias("rule_ids"), a.alias("start"), b.alias("end"))
+        pairs = F.flatten(F.zip_with(before, stops, lambda e, r: F.array(part(e, r["start"], False, none), part(r["start"], r["end"], True, r["rule_ids"]))))
+        kept = F.filter(pairs, lambda s: s["end"] > s["start"])
+        return F.when(F.size(kept) > 0, kept).otherwise(F.array(part(F.lit(0), n, False, none)))
+
+    return in_units(text, made)
 
 
 def covered(segments_: Column) -> Column:
@@ -78,7 +127,7 @@ def masked(segments_: Column, appearance: str) -> Column:
         raise ValueError(f"unknown appearance {appearance!r}")
 
     def mask(s: Column) -> Column:
-        n = F.length(s["text"])
+        n = n_graphemes(s["text"])
         if appearance == "asterisk":
             hidden = F.rpad(F.lit(""), n, "*")
         elif appearance == "grawlix":

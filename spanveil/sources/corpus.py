@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanveil.operators import expr
 from spanveil.operators.engine import Engine
 
 _MATCH = "struct<ruleId:string,packId:string,text:string,start:int,end:int,targetText:string,targetStart:int,targetEnd:int>"
@@ -33,11 +34,11 @@ def violations(cases: DataFrame) -> DataFrame:
     bad.append(say(F.col("text").isNull() | F.col("profile").isNull() | F.col("matches").isNull() | F.col("tags").isNull(), "missing field"))
     bad.append(say(F.size(F.array_distinct("tags")) < F.size("tags"), "repeated tag"))
     m = cases.select("package", "id", "text", F.explode("matches").alias("m"))
-    n = F.length("text")
+    n = expr.units(F.col("text"))
     inside = (F.col("m.start") >= 0) & (F.col("m.end") > F.col("m.start")) & (F.col("m.end") <= n) & (F.col("m.targetStart") >= F.col("m.start")) & (F.col("m.targetEnd") > F.col("m.targetStart")) & (F.col("m.targetEnd") <= F.col("m.end"))
     bad.append(m.where(~F.coalesce(inside, F.lit(False))).select("package", "id", F.lit("range out of bounds").alias("problem")))
-    cut = lambda a, b: F.col("text").substr(a + 1, b - a)
-    same = (cut(F.col("m.start"), F.col("m.end")) == F.col("m.text")) & (cut(F.col("m.targetStart"), F.col("m.targetEnd")) == F.col("m.targetText"))
+    said = lambda cut, n: (cut(F.col("m.start"), F.col("m.end")) == F.col("m.text")) & (cut(F.col("m.targetStart"), F.col("m.targetEnd")) == F.col("m.targetText"))
+    same = expr.in_units(F.col("text"), said)
     bad.append(m.where(inside & ~F.coalesce(same, F.lit(False))).select("package", "id", F.lit("text is not as declared").alias("problem")))
     return union(repeated, *bad)
 

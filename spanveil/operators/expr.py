@@ -7,8 +7,6 @@ row. Ranges are structs (start, end, rule_ids).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,13 +24,13 @@ def units(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
 
 
-def in_units(text: Column, made: Callable[[Callable[[Column, Column], Column], Column], Column]) -> Column:
-    """``made(cut, n)``, where ``cut(a, b)`` is the text between two UTF-16 offsets and ``n`` its length in them."""
-    plain = made(lambda a, b: F.substring(text, a + 1, b - a), F.length(text))
-    # the array of one element names the bytes, so that they are made once a row
-    raw = F.array(F.encode(text, "UTF-16BE"))
-    wide = F.transform(raw, lambda x: made(lambda a, b: F.decode(F.substring(x, a * 2 + 1, (b - a) * 2), "UTF-16BE"), (F.octet_length(x) / 2).cast("int")))
-    return F.when(text.rlike(_WIDE), F.get(wide, F.lit(0))).otherwise(plain)
+def _bytes_cut(raw: Column, a: Column, b: Column) -> Column:
+    return F.decode(F.substring(raw, a * 2 + 1, (b - a) * 2), "UTF-16BE")
+
+
+def cut(text: Column, a: Column, b: Column) -> Column:
+    """The text between two UTF-16 offsets."""
+    return F.when(text.rlike(_WIDE), _bytes_cut(F.encode(text, "UTF-16BE"), a, b)).otherwise(F.substring(text, a + 1, b - a))
 
 
 def graphemes(text: Column) -> Column:
@@ -98,18 +96,20 @@ def merge(ranges: Column, touching: bool = False) -> Column:
 
 def segments(text: Column, merged: Column, inverse: bool = False) -> Column:
     """The exact partition of ``text`` by merged ranges; ``inverse`` covers what lies between them instead."""
-    none = F.array().cast("array<string>")
-
-    def made(cut, n: Column) -> Column:
-        point = lambda at: F.struct(at.cast("int").alias("start"), at.cast("int").alias("end"), none.alias("rule_ids"))
-        stops = F.concat(merged, F.array(point(n)))
-        before = F.concat(F.array(F.lit(0)), F.transform(merged, lambda r: r["end"]))
-        part = lambda a, b, on, ids: F.struct(cut(a, b).alias("text"), (F.lit(on) != F.lit(inverse)).alias("covered"), ids.alias("rule_ids"), a.alias("start"), b.alias("end"))
-        pairs = F.flatten(F.zip_with(before, stops, lambda e, r: F.array(part(e, r["start"], False, none), part(r["start"], r["end"], True, r["rule_ids"]))))
-        kept = F.filter(pairs, lambda s: s["end"] > s["start"])
-        return F.when(F.size(kept) > 0, kept).otherwise(F.array(part(F.lit(0), n, False, none)))
-
-    return in_units(text, made)
+    wide, none = text.rlike(_WIDE), F.array().cast("array<string>")
+    n = F.when(wide, units(text)).otherwise(F.length(text))
+    point = lambda at: F.struct(at.cast("int").alias("start"), at.cast("int").alias("end"), none.alias("rule_ids"))
+    stops = F.concat(merged, F.array(point(n)))
+    before = F.concat(F.array(F.lit(0)), F.transform(merged, lambda r: r["end"]))
+    part = lambda a, b, on, ids: F.struct(F.lit(on != inverse).alias("covered"), ids.alias("rule_ids"), a.alias("start"), b.alias("end"))
+    pairs = F.flatten(F.zip_with(before, stops, lambda e, r: F.array(part(e, r["start"], False, none), part(r["start"], r["end"], True, r["rule_ids"]))))
+    kept = F.filter(pairs, lambda s: s["end"] > s["start"])
+    kept = F.when(F.size(kept) > 0, kept).otherwise(F.array(part(F.lit(0), n, False, none)))
+    said = lambda value, s: F.struct(value.alias("text"), s["covered"].alias("covered"), s["rule_ids"].alias("rule_ids"), s["start"].alias("start"), s["end"].alias("end"))
+    # the bytes come in beside each range, so that they are made once a row
+    raw = F.array_repeat(F.encode(text, "UTF-16BE"), F.size(kept))
+    cuts = F.zip_with(kept, raw, lambda s, x: said(_bytes_cut(x, s["start"], s["end"]), s))
+    return F.when(wide, cuts).otherwise(F.transform(kept, lambda s: said(F.substring(text, s["start"] + 1, s["end"] - s["start"]), s)))
 
 
 def covered(segments_: Column) -> Column:

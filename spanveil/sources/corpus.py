@@ -37,8 +37,8 @@ def violations(cases: DataFrame) -> DataFrame:
     n = expr.units(F.col("text"))
     inside = (F.col("m.start") >= 0) & (F.col("m.end") > F.col("m.start")) & (F.col("m.end") <= n) & (F.col("m.targetStart") >= F.col("m.start")) & (F.col("m.targetEnd") > F.col("m.targetStart")) & (F.col("m.targetEnd") <= F.col("m.end"))
     bad.append(m.where(~F.coalesce(inside, F.lit(False))).select("package", "id", F.lit("range out of bounds").alias("problem")))
-    said = lambda cut, n: (cut(F.col("m.start"), F.col("m.end")) == F.col("m.text")) & (cut(F.col("m.targetStart"), F.col("m.targetEnd")) == F.col("m.targetText"))
-    same = expr.in_units(F.col("text"), said)
+    cut = lambda a, b: expr.cut(F.col("text"), F.col(a), F.col(b))
+    same = (cut("m.start", "m.end") == F.col("m.text")) & (cut("m.targetStart", "m.targetEnd") == F.col("m.targetText"))
     bad.append(m.where(inside & ~F.coalesce(same, F.lit(False))).select("package", "id", F.lit("text is not as declared").alias("problem")))
     return union(repeated, *bad)
 

@@ -15,8 +15,18 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Bytes of a batch that goes to a Python worker, whatever the number and length of its texts.
+BATCH_BYTES = 4 << 20
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """Bounds Arrow batches by bytes: by rows alone, a batch of long texts would take any memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return lean(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there and any executor can be lost."""
-    spark = df.sparkSession
+    spark = lean(df.sparkSession)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -81,6 +91,7 @@ def arrow_map(df: DataFrame, fn: Callable[..., dict], schema: str, *columns: str
     Only the named columns leave the JVM. Batches are bounded by Spark's Arrow settings, and cut further by ``pieces``,
     so memory does not grow with a partition.
     """
+    lean(df.sparkSession)
     frame = df.select(*columns)
     target = frame.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -55,7 +55,7 @@ SALT = 4_096  # rows of a heavy shingle in one task
 SALTS = 16
 _TALLY = 300_000
 _CELLS = 1 << 21
-_BYTES = 2_000_000  # of texts that are hashed at a time
+_BYTES = 500_000  # of texts that are hashed at a time
 _LONG_WORD = 64
 
 

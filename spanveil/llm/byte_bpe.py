@@ -40,7 +40,7 @@ class ByteBPE:
         self.by_text = {raw.decode("latin-1"): rank for raw, rank in ranks.items()}
         self._prepare()
         self.fits = Cache(self._fits, PAIR_CACHE)
-        self.ids_of = Cache(self._piece, PIECE_CACHE)
+        self.ids_of = Cache(self._piece, PIECE_CACHE, 64)
 
     def _prepare(self) -> None:
         """Halves of each token, the token of each pair of halves, and each token's longest proper prefix token."""

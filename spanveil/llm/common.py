@@ -107,13 +107,18 @@ def arrow_map(df: DataFrame, fn: Callable[..., dict], schema: str, *columns: str
 
 
 class Cache(dict):
-    """A bounded memo in two generations: at most 2 * ``size`` entries, the least recently filled half goes first."""
+    """A bounded memo in two generations: at most 2 * ``size`` entries, the least recently filled half goes first.
 
-    def __init__(self, fn: Callable, size: int):
+    Keys longer than ``longest``, if given, are not kept, so that entries bound bytes as well.
+    """
+
+    def __init__(self, fn: Callable, size: int, longest: int | None = None):
         super().__init__()
-        self.fn, self.size, self.old = fn, size, {}
+        self.fn, self.size, self.longest, self.old = fn, size, longest, {}
 
     def __missing__(self, key):
+        if self.longest is not None and len(key) > self.longest:
+            return self.fn(key)
         old = self.old
         value = old[key] if key in old else self.fn(key)
         if len(self) >= self.size:

@@ -149,6 +149,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             to = max(at + 1, int(np.searchsorted(total, total[at] - size[at] + _BYTES, "right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 def _class(s: np.ndarray, seed: int) -> int:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import Cache, fold, unused
+from spanveil.llm.common import fold, unused
 
 POSITIVES = 4_000
 UNLABELLED = 16_000
@@ -56,10 +56,11 @@ class Model:
 
     def scorer(self):
         table = dict(zip(self.slots.tolist(), self.weights.tolist(), strict=True))
-        weight = Cache(lambda w: table.get(slot(w), 0.0), 200_000).__getitem__
+        of = table.get
 
         def score(text: str | None) -> float:
-            z = self.bias + sum(sorted(map(weight, words(text))))
+            # one sum for one set of words, whatever its order
+            z = self.bias + sum(sorted(w for word in words(text) if (w := of(slot(word)))))
             return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
         return score
@@ -138,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     return fit(_slots(positive, text, key, 2 * POSITIVES), _slots(unlabelled, text, key, 2 * UNLABELLED), toxic / n if n else 0.0005)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _scorer(raw: tuple) -> object:
     bias, slots, weights, prior = raw
     return Model(bias, np.frombuffer(slots, np.int64), np.frombuffer(weights, np.float64), prior).scorer()

@@ -16,7 +16,11 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 #: Bytes of a batch that goes to a Python worker, whatever the number and length of its texts.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
+
+
+#: Of a row group that a task gathers before it writes.
+ROW_GROUP_BYTES = 32 << 20
 
 
 def lean(spark: SparkSession) -> SparkSession:
@@ -46,7 +50,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there and any executor can be lost."""
     spark = lean(df.sparkSession)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out

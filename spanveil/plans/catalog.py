@@ -36,8 +36,23 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Tables whose texts go to Python, and the bytes of a split that keeps a core busy there.
+TEXTS, SPLIT_BYTES = ("documents", "pages", "conversations"), 128 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that lie in fewer files than there are cores are dealt to all of them, if a few splits hold them all.
+
+    A row group can't be split, so a small table in one file would be one task however many cores there are. Larger
+    tables have row groups for all, and are left as they lie.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name not in TEXTS or len(df.inputFiles()) >= cores:
+        return df
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
 
 
 def _words(**options) -> Engine:

@@ -145,13 +145,15 @@ class Engine:
         return out
 
     def _column(self, fn: Callable, kind: str, arrow: pa.DataType, text: Column) -> Column:
+        """``fn`` of each text. Marked as not deterministic, though it is: else the optimizer copies it into the filters
+        that it infers from explodes and pushes down, and every text is matched twice. Filter rows before matching."""
         engine = self
 
         @F.arrow_udf(kind)
         def run(texts: pa.Array) -> pa.Array:
             return pa.array([None if t is None else fn(engine, t) for t in texts.to_pylist()], arrow)
 
-        return run(text)
+        return run.asNondeterministic()(text)
 
     def find_column(self, text: Column) -> Column:
         """array<MATCH> of each text."""

@@ -95,7 +95,7 @@ def merge(ranges: Column, touching: bool = False) -> Column:
 
 
 def segments(text: Column, merged: Column, inverse: bool = False) -> Column:
-    """The exact partition of ``text`` by merged ranges; ``inverse`` covers what lies between them instead."""
+    """The exact partition of ``text`` by merged ranges; ``inverse`` covers what lies between them instead. Null texts give null."""
     wide, none = text.rlike(_WIDE), F.array().cast("array<string>")
     n = F.when(wide, units(text)).otherwise(F.length(text))
     point = lambda at: F.struct(at.cast("int").alias("start"), at.cast("int").alias("end"), none.alias("rule_ids"))
@@ -109,16 +109,20 @@ def segments(text: Column, merged: Column, inverse: bool = False) -> Column:
     # the bytes come in beside each range, so that they are made once a row
     raw = F.array_repeat(F.encode(text, "UTF-16BE"), F.size(kept))
     cuts = F.zip_with(kept, raw, lambda s, x: said(_bytes_cut(x, s["start"], s["end"]), s))
-    return F.when(wide, cuts).otherwise(F.transform(kept, lambda s: said(F.substring(text, s["start"] + 1, s["end"] - s["start"]), s)))
+    return F.when(wide, cuts).when(text.isNotNull(), F.transform(kept, lambda s: said(F.substring(text, s["start"] + 1, s["end"] - s["start"]), s)))
 
 
 def covered(segments_: Column) -> Column:
     return F.filter(segments_, lambda s: s["covered"])
 
 
+def _joined(segments_: Column, said) -> Column:
+    return F.array_join(F.transform(segments_, said), "")
+
+
 def restored(segments_: Column) -> Column:
-    """The source text again."""
-    return F.concat_ws("", F.transform(segments_, lambda s: s["text"]))
+    """The source text again; null segments give null."""
+    return _joined(segments_, lambda s: s["text"])
 
 
 def masked(segments_: Column, appearance: str) -> Column:
@@ -136,13 +140,13 @@ def masked(segments_: Column, appearance: str) -> Column:
             hidden = s["text"]
         return F.when(s["covered"], hidden).otherwise(s["text"])
 
-    return F.concat_ws("", F.transform(segments_, mask))
+    return _joined(segments_, mask)
 
 
 def spliced(text: Column, merged: Column, replacement: str = "") -> Column:
     """``text`` with every merged range replaced once."""
     parts = segments(text, merged)
-    return F.concat_ws("", F.transform(parts, lambda s: F.when(s["covered"], F.lit(replacement)).otherwise(s["text"])))
+    return _joined(parts, lambda s: F.when(s["covered"], F.lit(replacement)).otherwise(s["text"]))
 
 
 def target_ranges(matches: Column, scope: str = "target") -> Column:

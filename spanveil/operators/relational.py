@@ -11,10 +11,10 @@ from spanveil.operators import expr
 from spanveil.operators.engine import Engine
 
 
-def matches(docs: DataFrame, engine: Engine, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each match, with its position and id; a narrow map and an explode."""
-    found = docs.select(F.col(key), engine.find_column(F.col(text)).alias("m"))
-    return found.select(key, F.posexplode("m").alias("pos", "m")).select(key, "pos", F.concat(F.lit("m"), F.col("pos").cast("string")).alias("match_id"), "m.*")
+def matches(docs: DataFrame, engine: Engine, key: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
+    """A row for each match, with its position and id and the columns to ``keep``; a narrow map and an explode."""
+    found = docs.select(F.col(key), *keep, engine.find_column(F.col(text)).alias("m"))
+    return found.select(key, *keep, F.posexplode("m").alias("pos", "m")).select(key, *keep, "pos", F.concat(F.lit("m"), F.col("pos").cast("string")).alias("match_id"), "m.*")
 
 
 def segments(docs: DataFrame, engine: Engine, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -67,7 +67,7 @@ def disclosure_groups(both: Column) -> Column:
     def run(column: pa.Array) -> pa.Array:
         return pa.array([None if x is None else _groups(x["matches"], x["segments"]) for x in column.to_pylist()], _GROUP)
 
-    return run(both)
+    return run.asNondeterministic()(both)
 
 
 def _groups(found: list[dict], parts: list[dict]) -> list[dict]:
@@ -174,10 +174,13 @@ def inverse_segments(text: Column, found: Column) -> Column:
     return expr.segments(text, expr.merge(expr.target_ranges(found, "match"), touching=True), inverse=True)
 
 
-def rule_stats(found: DataFrame, docs: DataFrame, by: list[str], key: str = "doc_id") -> DataFrame:
-    """Matches and distinct documents by rule and document columns, with all subtotals."""
-    joined = found.select(key, "rule_id").join(docs.select(key, *by), key)
-    return joined.rollup(*by, "rule_id").agg(F.count(F.lit(1)).alias("n_matches"), F.countDistinct(key).alias("n_docs"))
+def rule_stats(found: DataFrame, by: list[str], key: str = "doc_id") -> DataFrame:
+    """Matches and distinct documents by rule and the columns ``by`` that came with the matches, with all subtotals.
+
+    Matches are counted by document before they meet, so what moves and is expanded to subtotals is a row a rule and document.
+    """
+    counted = found.groupBy(key, *by, "rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return counted.rollup(*by, "rule_id").agg(F.sum("n").alias("n_matches"), F.countDistinct(key).alias("n_docs"))
 
 
 def first_per_document(found: DataFrame, k: int = 1, key: str = "doc_id") -> DataFrame:

@@ -52,7 +52,7 @@ def visual_column(engine: Engine, text: Column, appearance: str = "scrawl", cont
     def run(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else visual(engine, t, appearance, controls) for t in texts.to_pylist()], _visual)
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 # The declarations of each highlight.

@@ -267,10 +267,16 @@ def restore_text(spark, sf_dir):
     return read(spark, sf_dir).select("doc_id", expr.restored(_words().segment_column(F.col("text"))).alias("text"))
 
 
+def _of_all(sql: str, **empty: str) -> str:
+    """``sql``, which has no rows for texts without tokens, with all documents: nulls for null texts, these values for empty ones."""
+    cols = ", ".join(f"CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(x.{c}, {value}) END AS {c}" for c, value in empty.items())
+    return f"SELECT d.doc_id, {cols} FROM documents d LEFT JOIN ({sql}) x ON x.doc_id = d.doc_id"
+
+
 def _mask(name: str, hidden: str) -> None:
-    @query(f"mask_{name}", f"WITH {_tokens()} SELECT doc_id, string_agg(CASE WHEN lower(w) IN ({_LIST}) THEN {hidden} ELSE w END, '' ORDER BY i) AS masked FROM pos GROUP BY doc_id")
+    @query(f"mask_{name}", _of_all(f"WITH {_tokens()} SELECT doc_id, string_agg(CASE WHEN lower(w) IN ({_LIST}) THEN {hidden} ELSE w END, '' ORDER BY i) AS masked FROM pos GROUP BY doc_id", masked="''"))
     def run(spark, sf_dir):
-        df = _matched(spark, sf_dir, _words()).where(F.length("text") > 0)
+        df = _matched(spark, sf_dir, _words())
         return df.select("doc_id", expr.masked(expr.segments(F.col("text"), expr.merge(expr.full_covers(F.col("m")))), name).alias("masked"))
 
 
@@ -284,9 +290,9 @@ _mask("grawlix", "substr(repeat('@#$%&!', 10), 1, length(w))")
 def _sanitize(name: str, replacement: str | None) -> None:
     said = (replacement or "").replace("'", "''")
 
-    @query(name, f"WITH {_tokens()} SELECT doc_id, string_agg(CASE WHEN lower(w) IN ({_LIST}) THEN '{said}' ELSE w END, '' ORDER BY i) AS clean, CAST(sum(CASE WHEN lower(w) IN ({_LIST}) THEN 1 ELSE 0 END) AS BIGINT) AS n_ranges FROM pos GROUP BY doc_id")
+    @query(name, _of_all(f"WITH {_tokens()} SELECT doc_id, string_agg(CASE WHEN lower(w) IN ({_LIST}) THEN '{said}' ELSE w END, '' ORDER BY i) AS clean, CAST(sum(CASE WHEN lower(w) IN ({_LIST}) THEN 1 ELSE 0 END) AS BIGINT) AS n_ranges FROM pos GROUP BY doc_id", clean="''", n_ranges="0"))
     def run(spark, sf_dir):
-        docs = read(spark, sf_dir).where(F.length("text") > 0)
+        docs = read(spark, sf_dir)
         out = docs.select("doc_id", _words().sanitize_column(F.col("text"), replacement).alias("r"))
         return out.select("doc_id", F.col("r.text").alias("clean"), F.col("r.range_count").cast("long").alias("n_ranges"))
 
@@ -295,28 +301,27 @@ _sanitize("sanitize_target", "[x]")
 _sanitize("sanitize_omit", None)
 
 
-@query("sanitize_match", f"WITH {_tokens()} SELECT doc_id, string_agg(CASE WHEN regexp_full_match(lower(w), 't(he|o|hat)') THEN '#' ELSE w END, '' ORDER BY i) AS clean FROM pos GROUP BY doc_id")
+@query("sanitize_match", _of_all(f"WITH {_tokens()} SELECT doc_id, string_agg(CASE WHEN regexp_full_match(lower(w), 't(he|o|hat)') THEN '#' ELSE w END, '' ORDER BY i) AS clean FROM pos GROUP BY doc_id", clean="''"))
 def sanitize_match(spark, sf_dir):
     rule = regex_rule("t", packs.EDGE_BEFORE + "(?<head>t)(?:hat|he|o)" + packs.EDGE_AFTER, "giu", group="head")
-    df = _matched(spark, sf_dir, Engine([rule])).where(F.length("text") > 0)
+    df = _matched(spark, sf_dir, Engine([rule]))
     return df.select("doc_id", expr.spliced(F.col("text"), expr.merge(expr.target_ranges(F.col("m"), "match")), "#").alias("clean"))
 
 
-@query(
-    "sanitize_verify",
-    f"""WITH {_tokens()}, clean AS (SELECT doc_id, string_agg(CASE WHEN lower(w) IN ({_LIST}) THEN '[x]' ELSE w END, '' ORDER BY i) AS c FROM pos GROUP BY doc_id),
-    gone AS (SELECT DISTINCT doc_id, w FROM pos WHERE lower(w) IN ({_LIST})), still AS (SELECT doc_id, count(*) AS n FROM gone JOIN clean USING (doc_id) WHERE contains(c, w) GROUP BY doc_id)
-    SELECT doc_id, coalesce(n, 0) AS n_present, coalesce(n, 0) = 0 AS absent FROM clean LEFT JOIN still USING (doc_id)""",
-)
+_VERIFIED = f"""WITH {_tokens()}, clean AS (SELECT doc_id, string_agg(CASE WHEN lower(w) IN ({_LIST}) THEN '[x]' ELSE w END, '' ORDER BY i) AS c FROM pos GROUP BY doc_id),
+    gone AS (SELECT DISTINCT doc_id, w FROM pos WHERE lower(w) IN ({_LIST})), still AS (SELECT doc_id, count(*) AS n FROM gone JOIN clean USING (doc_id) WHERE contains(c, w) GROUP BY doc_id)"""
+
+
+@query("sanitize_verify", _of_all(f"{_VERIFIED} SELECT doc_id, coalesce(n, 0) AS n_present, coalesce(n, 0) = 0 AS absent FROM clean LEFT JOIN still USING (doc_id)", n_present="0", absent="true"))
 def sanitize_verify(spark, sf_dir):
-    docs = read(spark, sf_dir).where(F.length("text") > 0)
+    docs = read(spark, sf_dir)
     out = docs.select("doc_id", _words().sanitize_column(F.col("text"), "[x]", verify=True).alias("r"))
     return out.select("doc_id", F.size("r.source_absence.present").cast("long").alias("n_present"), F.col("r.source_absence.absent").alias("absent"))
 
 
-@query("export_gate", ORACLES["sanitize_verify"].replace("SELECT doc_id, coalesce(n, 0) AS n_present, coalesce(n, 0) = 0 AS absent FROM clean LEFT JOIN still USING (doc_id)", "SELECT doc_id, c AS clean FROM clean LEFT JOIN still USING (doc_id) WHERE n IS NULL"))
+@query("export_gate", f"{_VERIFIED} SELECT doc_id, c AS clean FROM clean LEFT JOIN still USING (doc_id) WHERE n IS NULL UNION ALL SELECT doc_id, '' FROM documents WHERE text = ''")
 def export_gate(spark, sf_dir):
-    docs = read(spark, sf_dir).where(F.length("text") > 0)
+    docs = read(spark, sf_dir)
     out = docs.select("doc_id", _words().sanitize_column(F.col("text"), "[x]", verify=True).alias("report"))
     return views.exportable(out).select("doc_id", F.col("report.text").alias("clean"))
 
@@ -350,19 +355,23 @@ def reveal_clicks(spark, sf_dir):
 # relational
 
 
-def _by_word(spark, sf_dir):
-    return rel.matches(read(spark, sf_dir), Engine([term_rule(w, [w]) for w in WORDS]))
+def _by_word(spark, sf_dir, only: DataFrame | None = None, keep: list[str] = ()):
+    """Matches of the words, one rule each, in all documents or in those that ``only`` names."""
+    docs = read(spark, sf_dir)
+    docs = docs if only is None else docs.join(only.select("doc_id"), "doc_id", "left_semi")
+    return rel.matches(docs, Engine([term_rule(w, [w]) for w in WORDS]), keep=keep)
 
 
 @query("rule_stats_by_lang", f"{_HITS} SELECT lang, lower(w) AS rule_id, count(*) AS n_matches, count(DISTINCT doc_id) AS n_docs FROM hit JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, lower(w))")
 def rule_stats_by_lang(spark, sf_dir):
-    return rel.rule_stats(_by_word(spark, sf_dir), read(spark, sf_dir), ["lang"])
+    return rel.rule_stats(_by_word(spark, sf_dir, keep=["lang"]), ["lang"])
 
 
 @query("toxic_join", f"{_HITS} SELECT toxic, lower(w) AS rule_id, count(*) AS n_matches FROM hit JOIN labels USING (doc_id) GROUP BY 1, 2")
 def toxic_join(spark, sf_dir):
-    found = _by_word(spark, sf_dir).groupBy("doc_id", "rule_id").count()
-    return found.join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").groupBy("toxic", "rule_id").agg(F.sum("count").alias("n_matches"))
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    found = _by_word(spark, sf_dir, labels).groupBy("doc_id", "rule_id").count()
+    return found.join(labels, "doc_id").groupBy("toxic", "rule_id").agg(F.sum("count").alias("n_matches"))
 
 
 @query("top_documents", f"{_HITS} SELECT doc_id, count(*) AS n_matches FROM hit GROUP BY doc_id ORDER BY n_matches DESC, doc_id LIMIT 20")
@@ -411,8 +420,8 @@ def corpus_diff(spark, sf_dir):
     engine = Engine([term_rule("the", ["the"])])
     case = lambda df: df.select("doc_id", "text", engine.find_column(F.col("text")).alias("matches"))
     docs = read(spark, sf_dir)
-    head = docs.where("source <> 'src0'").withColumn("text", F.replace("text", F.lit(" the "), F.lit(" teh ")))
-    return rel.diff(case(docs.where("source <> 'src1'")), case(head), ["doc_id"])
+    head = docs.where("source IS DISTINCT FROM 'src0'").withColumn("text", F.replace("text", F.lit(" the "), F.lit(" teh ")))
+    return rel.diff(case(docs.where("source IS DISTINCT FROM 'src1'")), case(head), ["doc_id"])
 
 
 @query("segment_match_overlap", f"{_ISLANDS}, hits AS (SELECT doc_id, s, e FROM hit) SELECT m.doc_id, m.s AS segment_start, count(*) AS n_matches FROM merged m JOIN hits h ON m.doc_id = h.doc_id AND m.s < h.e AND m.e > h.s GROUP BY 1, 2")

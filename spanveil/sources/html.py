@@ -123,7 +123,7 @@ def text_nodes(html: Column, eligible: Callable | None = None) -> Column:
     def run(pages: pa.Array) -> pa.Array:
         return pa.array([None if p is None else parse(p, eligible).nodes for p in pages.to_pylist()], pa.list_(_node))
 
-    return run(html)
+    return run.asNondeterministic()(html)
 
 
 def page_text(pages: DataFrame, eligible: Callable | None = None, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -159,7 +159,7 @@ def render(html: Column, engine: Engine, eligible: Callable | None = None) -> Co
     def run(pages: pa.Array) -> pa.Array:
         return pa.array([None if p is None else rendered(p, engine, eligible) for p in pages.to_pylist()], pa.string())
 
-    return run(html)
+    return run.asNondeterministic()(html)
 
 
 def covered_nodes(pages: DataFrame, engine: Engine, eligible: Callable | None = None, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -5,7 +5,7 @@ import duckdb
 
 def oracle_rows(sf_dir, sql, columns):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels", "benchmark", "pages", "conversations"):
+    for t in ("documents", "embeddings", "labels", "benchmark", "pages", "conversations", "events"):
         import os
 
         if os.path.exists(f"{sf_dir}/{t}.parquet"):

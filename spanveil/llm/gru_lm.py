@@ -46,6 +46,8 @@ RATE = 0.02  # of the first round; the last has a quarter
 TRAINED = 256  # lanes of training: as many as keep a step's arrays in a core's cache
 BUFFER = 262_144  # tokens that a training task gathers before it deals them to lanes
 LANES = 256
+SCORED = 2_048  # rows scored side by side
+SCORED_BYTES = 8 << 20
 FREQUENT = 131_072
 LONGEST = 48  # bytes of a word in the broadcast table
 _TALLY = 500_000
@@ -369,6 +371,18 @@ def whole_texts(gru: GRU, texts: list[np.ndarray], lanes: int = LANES) -> np.nda
     return out
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined to ``SCORED`` rows or ``SCORED_BYTES``, enough to keep all lanes at work."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= SCORED or sum(b.nbytes for b in held) >= SCORED_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, c, bucket) of all words of all texts; each task empties its table when it is full."""
 
@@ -448,9 +462,9 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
         known = shared_ids.value
         end_log = np.log10(ends + 0.1)
         logs = {w: np.log10(c + 0.1) for w, c in often.items()}
-        for whole in batches:
-            for start in range(0, whole.num_rows, 2048):
-                batch = whole.slice(start, 2048)
+        for whole in _gathered(batches):
+            for start in range(0, whole.num_rows, SCORED):
+                batch = whole.slice(start, SCORED)
                 coded_, n_tokens, n_known, freq, model, tails, uids = [], [], [], [], [], [], []
                 for name, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     words = tokens(t)

@@ -16,7 +16,7 @@ from spanveil.operators import expr
 from spanveil.operators import relational as rel
 from spanveil.operators import views
 from spanveil.operators.engine import Engine, vowels
-from spanveil.operators.rules import matcher_rule, obfuscated_rule, regex_rule, rules_from_packs, term_rule, transformed_rule
+from spanveil.operators.rules import Entry, confusable_rule, matcher_rule, obfuscated_rule, regex_rule, repeated_rule, rules_from_packs, targeted_rule, term_rule, transformed_rule, width_rule
 from spanveil.sources import html, state
 from spanveil.streaming import range_index
 
@@ -173,6 +173,31 @@ def obfuscated_term_find(spark, sf_dir):
     return _plain(_matched(spark, sf_dir, Engine([obfuscated_rule("ea", ["ea"], substitutions={"e": ["é"]}, max_substitutions=1)])))
 
 
+def _evasion(name: str, rule, *forms: tuple) -> None:
+    """Forms of a term put in the place of every " of ", one form a document: (form, target start and end, or None if no match)."""
+    pick = lambda k: "CASE doc_id % {} {} END".format(len(forms), " ".join(f"WHEN {i} THEN {value(f, k)}" for i, f in enumerate(forms)))
+    value = lambda f, k: "NULL" if f[k] is None else f"'{f[k]}'" if k == 0 else str(f[k])
+    sql = f"""WITH src AS (SELECT doc_id, text AS t, {pick(0)} AS f, {pick(1)} AS a, {pick(2)} AS b FROM documents),
+      part AS (SELECT doc_id, f, a, b, unnest(string_split(t, ' of ')) AS p, generate_subscripts(string_split(t, ' of '), 1) AS i, len(string_split(t, ' of ')) AS k FROM src),
+      hit AS (SELECT *, CAST(sum(length(p) + length(f) + 2) OVER (PARTITION BY doc_id ORDER BY i) - length(f) - 2 AS BIGINT) AS s FROM part)
+      SELECT doc_id, f AS match_text, s + 1 AS start_at, s + 1 + length(f) AS end_at, s + 1 + a AS target_start, s + 1 + b AS target_end FROM hit WHERE i < k AND a IS NOT NULL"""
+
+    @query(name, sql)
+    def run(spark, sf_dir):
+        engine = Engine([rule])
+        docs = read(spark, sf_dir).select("doc_id", F.replace("text", F.lit(" of "), F.concat(F.lit(" "), F.expr(pick(0)), F.lit(" "))).alias("text"))
+        rows = _rows(docs.select("doc_id", engine.find_column(F.col("text")).alias("m")))
+        at = (("start", "start_at"), ("end", "end_at"), ("target_start", "target_start"), ("target_end", "target_end"))
+        return rows.select("doc_id", F.col("x.text").alias("match_text"), *(F.col(f"x.{a}").cast("long").alias(b) for a, b in at))
+
+
+_evasion("repeated_term_find", repeated_rule("z", ["zorbal"], 3), ("zzorbal", 0, 7), ("zorrrbal", 0, 8), ("zorbaaaaal", None, None), ("ZORBBAL", 0, 7), ("zorbal", None, None))
+_evasion("fullwidth_term_find", width_rule("z", ["zorbal"], {"o": ["\uff4f"], "a": ["\uff41"]}, 1, 0, max_changes=1), ("z\uff4frbal", 0, 6), ("z\uff4frb\uff41l", None, None), ("zorb\uff41l", 0, 6), ("zorbal", None, None))
+_evasion("lookalike_term_find", confusable_rule("z", ["zorbal"], {"o": ["\u043e"], "a": ["\u0430"]}, 1, 1, max_changes=2), ("z\u043erbal", 0, 6), ("z\u043erb\u0430l", None, None), ("zorrb\u0430l", 0, 7), ("z\u043e\u043erbal", None, None))
+_evasion("separated_term_find", obfuscated_rule("z", ["zorbal"], ignored=[".", "-"], max_ignored=2, max_changes=2), ("z.orbal", 0, 7), ("z-o.rbal", 0, 8), ("z.o.r.bal", None, None), ("zorbal", None, None))
+_evasion("targeted_term_find", targeted_rule("z", [Entry("zorbal", target="bal")], substitutions={"o": ["0"]}, max_substitutions=1, max_changes=1), ("z0rbal", 3, 6), ("Z0RBAL", 3, 6), ("zorbal", None, None))
+
+
 def _bare(g: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", g) if unicodedata.category(c) != "Mn")
 

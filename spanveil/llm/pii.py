@@ -4,9 +4,10 @@ Rules find e-mail addresses, IP numbers, card numbers and phone numbers; their s
 spans that the rules miss, such as spelt-out addresses, phone numbers without a plus or card numbers with other
 separators. It scores whole candidate segments of at most ``MOST_TOKENS`` tokens by features of the segment (its shape,
 digit count, separators, length, the words around it) and a table of label transitions; dynamic programming over
-segmentations with that bound chooses boundaries and types jointly. A segment holds a digit, an at sign or the word "at", so
-only the tokens around those are decoded, and the result is that of decoding the whole text; all else costs one regular
-expression.
+segmentations with that bound chooses boundaries and types jointly. A segment holds four digits without letters between, an
+at sign or the word "at", so only the tokens around those are decoded, and the result is that of decoding the whole text; all
+else costs two regular expressions. Segments are scored while they grow token by token, and those that lose to background
+between any labels never enter the programme.
 
 The weights are trained by maximum likelihood, with forward and backward sums over segmentations, on sentences made from
 a fixed grammar of spans in neutral words. No row of the input is learnt from.
@@ -86,10 +87,18 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 _ANY_DIGIT = re.compile("[0-9]").search
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
-#: Digits that are single tokens, or parts of a token of letters, beside 0-9.
-_MORE_DIGITS = "".join(c for c in map(chr, range(128, 0x110000)) if c.isdigit())
-#: What every segment that ``_possible`` admits holds: a digit, an at sign, or "at" as a whole token of letters.
-_HINT = re.compile(rf"[0-9{_MORE_DIGITS}]|@|(?<![^\W\d_])at(?![^\W\d_])", re.I)
+#: Digits, and all characters of words, that are neither 0-9 nor letters: superscripts, fractions, digits of other scripts.
+#: Those beyond U+FFFF are looked up in a set, as a regular expression would try them one by one.
+_MORE_DIGITS = "".join(c for c in map(chr, range(128, 0x10000)) if c.isdigit()) + "\U00010000-\U0010ffff"
+_ODD = [c for c in map(chr, range(128, 0x110000)) if c.isalnum() and not c.isalpha()]
+_ODD_NEAR = re.compile(f"[{''.join(c for c in _ODD if c <= chr(0xFFFF))}]").search
+_ODD_FAR = frozenset(c for c in _ODD if c > chr(0xFFFF))
+_FAR = re.compile("[\U00010000-\U0010ffff]").findall
+#: What every segment that ``_possible`` admits meets: four digits with no token of letters and no line end between, an at
+#: sign, or "at" as a whole token of letters. In a text with odd characters a token with letters may not count as one.
+_RUN = re.compile(r"[0-9](?:[^A-Za-z\n0-9]*+[0-9]){3,}+")
+_ODD_RUN = re.compile(rf"[0-9{_MORE_DIGITS}](?:[^\n0-9{_MORE_DIGITS}]*+[0-9{_MORE_DIGITS}]){{3,}}+")
+_AT = re.compile(r"@|(?<![A-Za-z])[Aa][Tt](?![A-Za-z])")
 #: Last words of host names.
 _ENDS = frozenset(("com", "org", "net", "example", "edu", "gov", "io", "info", "de", "fr", "es", "it", "uk", "eu"))
 #: Words that stand near personal data.
@@ -145,7 +154,8 @@ class SemiCRF:
         self.weights: dict[tuple[int, str], float] = {}
         self.moves = np.zeros((_O + 1, _O + 1))
         #: Entities of a stretch of text, memoised: passages that many documents share come again and again.
-        self.decoded = Cache(lambda piece: self.decode(t) if _promising(t := tokenize(piece)) else [], 20_000)
+        self.decoded = Cache(lambda piece: self.decode(t) if _promising(t := tokenize(piece)) else [], 20_000, 4096)
+        self._made = None
 
     def __reduce__(self):
         return _restored, (self.weights, self.moves)
@@ -163,34 +173,176 @@ class SemiCRF:
         get = self.weights.get
         return sum(get((kind, f), 0.0) for f in features)
 
+    def _tables(self) -> tuple[dict[str, dict[str, tuple[float, ...]]], list[float]]:
+        """Weights of all kinds by name and value of a feature, and the most that moves can add to a segment's score."""
+        if self._made is None:
+            by: dict[str, dict[str, list[float]]] = {}
+            for (kind, feature), w in self.weights.items():
+                name, _, value = feature.partition("=")
+                by.setdefault(name, {}).setdefault(value, [0.0] * _O)[kind] = w
+            m = self.moves
+            into, out = (m[:, :_O] - m[:, _O:]).max(0), (m[:_O] - m[_O]).max(1)
+            self._made = {n: {v: tuple(w) for v, w in t.items()} for n, t in by.items()}, (into + np.maximum(out, 0.0)).tolist()
+        return self._made
+
+    def scored(self, tokens: list[str]) -> dict[int, list[tuple[int, list[float]]]]:
+        """By end, the starts of possible entities with their scores for each kind, without those that cannot be in the best
+        segmentation: with any labels beside them, background in their place scores more."""
+        tables, most = self._tables()
+        stay, n = float(self.moves[_O, _O]), len(tokens)
+        out: dict[int, list[tuple[int, list[float]]]] = {}
+
+        def add(i: int, j: int, scores: list[float]) -> None:
+            bound = stay * (j - i - 1) - 1e-6
+            if any(s + m >= bound for s, m in zip(scores, most, strict=True)):
+                out.setdefault(j, []).append((i, scores))
+
+        if _odd("".join(tokens)):
+            for j, found in enumerate(self.segments(tokens)):
+                for i, features in found:
+                    add(i, j, [self.score(k, features) for k in range(_O)])
+            return out
+
+        none = (0.0,) * _O
+        get = lambda name, value="": tables.get(name, {}).get(value, none)
+        empty: dict[str, tuple[float, ...]] = {}
+        digits_w, groups_w, lens_w, last_w, seps_w, shape_w, at_w = (tables.get(k, empty) for k in ("digits", "groups", "lens", "last", "seps", "shape", "at"))
+        bias, glued, all_digits, some_letters, starts_at = get("bias"), get("glued"), get("alldigits", "True"), get("alldigits", "False"), get("starts", "at")
+        # of each token: d digits, a letters, s white space, or itself
+        classes = ["d" if "0" <= t[0] <= "9" else "a" if t[0].isalpha() else "s" if t[0].isspace() else t for t in tokens]
+        lower = [t.lower() if c == "a" else "" for t, c in zip(tokens, classes, strict=True)]
+        # the next at, dot, letters and line end from each token on; digits up to each token
+        far = n + MOST_TOKENS
+        next_at, next_dot, next_word, next_line = ([far] * (n + 1) for _ in range(4))
+        for i in range(n - 1, -1, -1):
+            c = classes[i]
+            next_at[i] = i if c == "@" or lower[i] == "at" else next_at[i + 1]
+            next_dot[i] = i if c == "." or lower[i] == "dot" else next_dot[i + 1]
+            next_word[i] = i if c == "a" else next_word[i + 1]
+            next_line[i] = i if c == "s" and "\n" in tokens[i] else next_line[i + 1]
+        upto = [0]
+        for t, c in zip(tokens, classes, strict=True):
+            upto.append(upto[-1] + (len(t) if c == "d" else 0))
+
+        for i in range(n):
+            c = classes[i]
+            if c not in "da+([":
+                continue
+            stop = min(n, i + MOST_TOKENS, next_line[i])
+            address = max(next_at[i], next_dot[i]) + 1
+            if address > stop and upto[min(stop, next_word[i])] - upto[i] < 4:
+                continue
+            first = get("first", c)
+            before_glued = i > 0 and classes[i - 1] in "da"
+            said = [t for t in lower[max(0, i - CONTEXT) : i] if t][-2:]
+            cues = [get("cue", str(_CUES[w])) for w in said if w in _CUES]
+            signs, at_word, bracketed, dot, letters, spaces = False, False, False, False, False, 0
+            seps: set[str] = set()
+            seps_key = shape = lens = ""
+            groups: list[str] = []
+            for j in range(i + 1, stop + 1):
+                t, c = tokens[j - 1], classes[j - 1]
+                if c == "d":
+                    groups.append(t)
+                    if len(groups) <= 6:
+                        lens = f"{lens},{len(t)}" if lens else str(len(t))
+                    if shape[-1:] != "0":
+                        shape += "0"
+                elif c == "a":
+                    letters = True
+                    if lower[j - 1] == "at":
+                        at_word = True
+                    elif lower[j - 1] == "dot":
+                        dot = True
+                    if shape[-1:] != "a":
+                        shape += "a"
+                else:
+                    if c == "s":
+                        spaces += 1
+                        shape += " " * len(t)
+                    else:
+                        shape += t
+                        if c == "@":
+                            signs = True
+                        elif c == ".":
+                            dot = True
+                        elif (c == ")" or c == "]") and j - i >= 3 and lower[j - 2] == "at" and tokens[j - 3] == ("(" if c == ")" else "["):
+                            bracketed = True
+                    if not seps.issuperset(t):
+                        seps.update(t)
+                        seps_key = "".join(sorted(seps))[:6]
+                if c != "d" and c != "a" and c != ")":
+                    continue
+                digits = upto[j] - upto[i]
+                if not (digits >= 4 and not letters or j >= address and spaces <= 8):
+                    if letters and (j >= address or address > stop):
+                        break
+                    continue
+                got = [bias, digits_w.get(str(digits), none), groups_w.get(str(len(groups)), none), first, last_w.get(c, none), seps_w.get(seps_key, none), lens_w.get(lens, none), some_letters if letters else all_digits, shape_w.get(shape[:24], none)]
+                got.append(at_w.get(f"{signs or bracketed}/{at_word}/{dot}", none))
+                if lower[i] == "at":
+                    got.append(starts_at)
+                if c == "a" and lower[j - 1] in _ENDS:
+                    got.append(get("end", str(tokens[j - 2] == ".")))
+                if len(groups) == 4:
+                    got.append(get("bytes", str(all(len(g) <= 3 and int(g) <= 255 for g in groups))))
+                if 13 <= digits <= 19:
+                    got.append(get("luhn", str(luhn("".join(groups)))))
+                if before_glued or j < n and classes[j] in "da":
+                    got.append(glued)
+                add(i, j, [sum(w) for w in zip(*got, *cues, strict=True)])
+        return out
+
     def decode(self, tokens: list[str]) -> list[tuple[int, int, int]]:
-        """(start, end, kind) of the best segmentation, by bounded-entity dynamic programming."""
-        ends = self.segments(tokens)
-        n = len(tokens)
-        best = np.full((n + 1, _O + 1), -np.inf)
-        back: dict[tuple[int, int], tuple[int, int]] = {}
-        best[0, _O] = 0.0
-        for j in range(1, n + 1):
-            step = best[j - 1] + self.moves[:, _O]
-            best[j, _O] = step.max()
-            back[j, _O] = (j - 1, int(step.argmax()))
-            for i, features in ends[j]:
-                for kind in range(_O):
-                    step = best[i] + self.moves[:, kind]
-                    value = step.max() + self.score(kind, features)
-                    if value > best[j, kind]:
-                        best[j, kind] = value
-                        back[j, kind] = (i, int(step.argmax()))
-        out, j, label = [], n, int(best[n].argmax())
-        while j > 0:
-            i, before = back[j, label]
-            if label != _O:
-                out.append((i, j, label))
-            j, label = i, before
-        return out[::-1]
+        """(start, end, kind) of the best segmentation, by bounded-entity dynamic programming.
+
+        A token that no segment holds is background, so the stretches between such tokens are decoded each for itself.
+        """
+        ends = self.scored(tokens)
+        stretches: list[list[int]] = []
+        for a, b in sorted((i, j) for j, found in ends.items() for i, _ in found):
+            if stretches and a <= stretches[-1][1]:
+                stretches[-1][1] = max(b, stretches[-1][1])
+            else:
+                stretches.append([a, b])
+        moves = self.moves.T.tolist()
+        labels = range(_O + 1)
+
+        def into(scores: list[float], kind: int) -> tuple[float, int]:
+            step = [s + m for s, m in zip(scores, moves[kind], strict=True)]
+            value = max(step)
+            return value, step.index(value)
+
+        out = []
+        for a, b in stretches:
+            best = {a: [-np.inf] * _O + [0.0]}
+            entered: dict[int, list[tuple[float, int]]] = {}
+            back: dict[tuple[int, int], tuple[int, int]] = {}
+            for j in range(a + 1, b + 1):
+                value, label = into(best[j - 1], _O)
+                now = [-np.inf] * _O + [value]
+                back[j, _O] = (j - 1, label)
+                for i, scores in ends.get(j, ()):
+                    if i not in entered:
+                        entered[i] = [into(best[i], k) for k in range(_O)]
+                    for kind, (value, label) in enumerate(entered[i]):
+                        if value + scores[kind] > now[kind]:
+                            now[kind] = value + scores[kind]
+                            back[j, kind] = (i, label)
+                best[j] = now
+            label = into(best[b], _O)[1] if b < len(tokens) else max(labels, key=best[b].__getitem__)
+            found, j = [], b
+            while j > a:
+                i, before = back[j, label]
+                if label != _O:
+                    found.append((i, j, label))
+                j, label = i, before
+            out += found[::-1]
+        return out
 
     def _gradient(self, tokens: list[str], gold: list[tuple[int, int, int]], rate: float) -> None:
         """One step up the log-likelihood: observed less expected counts, by forward and backward sums."""
+        self._made = None
         ends, n, lse = self.segments(tokens), len(tokens), np.logaddexp.reduce
         scores = [[(i, f, [self.score(k, f) for k in range(_O)]) for i, f in e] for e in ends]
         alpha, beta = np.full((n + 1, _O + 1), -np.inf), np.full((n + 1, _O + 1), -np.inf)
@@ -298,6 +450,11 @@ def model(rounds: int = 2500, seed: int = 11) -> SemiCRF:
     return crf
 
 
+def _odd(text: str) -> bool:
+    """Whether a text holds word characters that are neither 0-9 nor letters."""
+    return not text.isascii() and (_ODD_NEAR(text) is not None or not _ODD_FAR.isdisjoint(_FAR(text)))
+
+
 def _around(text: str, start: int, end: int) -> tuple[int, int]:
     """``start`` and ``end`` moved out to token borders, past every segment that holds what is between and its context."""
     back, forth = MOST_TOKENS + CONTEXT, MOST_TOKENS + 1
@@ -319,11 +476,12 @@ def _windows(text: str) -> list[tuple[int, int]]:
     """Stretches, at token borders, that hold every possible segment with its context, merged where they meet."""
     out: list[list[int]] = []
     hints: list[list[int]] = []
-    for m in _HINT.finditer(text):
-        if hints and m.start() - hints[-1][1] <= MOST_TOKENS:  # no more tokens than characters
-            hints[-1][1] = m.end()
+    run = _ODD_RUN if _odd(text) else _RUN
+    for start, end in sorted(m.span() for rule in (run, _AT) for m in rule.finditer(text)):
+        if hints and start - hints[-1][1] <= MOST_TOKENS:  # no more tokens than characters
+            hints[-1][1] = max(end, hints[-1][1])
         else:
-            hints.append([m.start(), m.end()])
+            hints.append([start, end])
     for start, end in hints:
         a, b = _around(text, start, end)
         if out and a <= out[-1][1]:

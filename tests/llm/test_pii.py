@@ -149,3 +149,61 @@ def test_stretches_give_what_the_whole_text_gives(text):
     for t in tokens:
         offsets.append(offsets[-1] + len(t))
     assert pii.added_spans(text, crf) == [(k, offsets[i], offsets[j]) for i, j, k in crf.decode(tokens)]
+
+
+def test_lone_numbers_and_words_open_no_stretch():
+    """Only four digits without letters between, or signs of an address, are worth decoding."""
+    assert pii._windows("in 1 of 22 cases, x12y34\n7 8 9\n10 1 was flat and that été 5 😀 " * 50) == []
+    assert pii._windows("call 555 1234 now") and pii._windows("x² ½ ٣٣ ²²") and pii._windows("AT home") and pii._windows("𝟘𝟙 𝟚𝟛")
+
+
+def test_segments_are_scored_without_feature_strings(monkeypatch):
+    crf = pii.model()
+    tokens = pii.tokenize("They met at noon. Then 12 34 56 78 9 10 11 12 at home.Then +1 (555) 123-4567. " * 5)
+    want = crf.decode(tokens)
+    monkeypatch.setattr(pii, "_features", None)
+    assert want and crf.decode(tokens) == want
+
+
+def dense(crf, tokens):
+    """The score of the best segmentation, by the whole table over every possible segment with its features."""
+    ends, n, O = crf.segments(tokens), len(tokens), pii._O
+    best = [[float("-inf")] * O + [0.0]]
+    for j in range(1, n + 1):
+        options = [[] for _ in range(O)] + [[best[j - 1][b] + crf.moves[b, O] for b in range(O + 1)]]
+        for i, features in ends[j]:
+            for k in range(O):
+                score = crf.score(k, features)
+                options[k] += [best[i][b] + crf.moves[b, k] + score for b in range(O + 1)]
+        best.append([max(found, default=float("-inf")) for found in options])
+    return max(best[n])
+
+
+def worth(crf, tokens, segments):
+    at, before, score, spans = 0, pii._O, 0.0, {i: (j, k) for i, j, k in segments}
+    while at < len(tokens):
+        j, k = spans.get(at, (at + 1, pii._O))
+        score += crf.moves[before, k] + (crf.score(k, pii._features(tokens, at, j)) if k != pii._O else 0)
+        at, before = j, k
+    return score
+
+
+TOKENS = st.one_of(FIELD, PARTS, st.sampled_from(["½", "Ⅷ", "x½y", "𝟘", "[at]", "[", "]", "+", ")", "call ", "visa: ", "1234", "0.0.0.0", "00", "dot", "DOT", "com", ".org", "at\n", "\x1c", "1 2 3 4 5 6 7 8 9"]))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(TOKENS, max_size=16).map("".join))
+def test_grown_scores_are_those_of_the_features(text):
+    crf, tokens = pii.model(), pii.tokenize(text)
+    ends = crf.segments(tokens)
+    for j, found in crf.scored(tokens).items():
+        features = dict(ends[j])
+        for i, scores in found:
+            assert scores == pytest.approx([crf.score(k, features[i]) for k in range(pii._O)], abs=1e-9)
+    got = crf.decode(tokens)
+    assert all(pii._possible(tokens, i, j) for i, j, _ in got)
+    assert worth(crf, tokens, got) == pytest.approx(dense(crf, tokens), abs=1e-6)
+    offsets = [0]
+    for t in tokens:
+        offsets.append(offsets[-1] + len(t))
+    assert pii.added_spans(text, crf) == [(k, offsets[i], offsets[j]) for i, j, k in got]

@@ -21,7 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +46,8 @@ RATE = 0.02  # of the first round; the last has a quarter
 TRAINED = 256  # lanes of training: as many as keep a step's arrays in a core's cache
 BUFFER = 262_144  # tokens that a training task gathers before it deals them to lanes
 LANES = 256
-SCORED = 2_048  # rows scored side by side
-SCORED_BYTES = 8 << 20
+SCORED = 4_096  # rows scored side by side
+SCORED_BYTES = 12 << 20
 FREQUENT = 131_072
 LONGEST = 48  # bytes of a word in the broadcast table
 _TALLY = 500_000
@@ -66,6 +66,16 @@ def bucket(word: bytes) -> int:
     return first if 0 <= first < 26 else 26
 
 
+class Ranks(dict):
+    """Places of the frequent words, most frequent first; another word's is -1 less its bucket, from the end of a table."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1 - bucket(word)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 @dataclass
 class GRU:
     """Weights: input rows by token, recurrent, class and word outputs with biases."""
@@ -76,6 +86,18 @@ class GRU:
     bc: np.ndarray
     wo: np.ndarray
     bo: np.ndarray
+    _space: dict[str, np.ndarray] = field(default_factory=dict, repr=False, compare=False)
+
+    def __reduce__(self):
+        return GRU, tuple(self.parts())
+
+    def space(self, name: str, *shape: int) -> np.ndarray:
+        """An array that the next window takes again: fresh pages would cost as much as what is computed in them."""
+        size = int(np.prod(shape))
+        held = self._space.get(name)
+        if held is None or held.size < size or held.dtype != self.wx.dtype:
+            held = self._space[name] = np.empty(size, self.wx.dtype)
+        return held[:size].reshape(shape)
 
     @staticmethod
     def fresh(counts: np.ndarray, seed: int = 3) -> GRU:
@@ -107,95 +129,136 @@ class GRU:
         out += new
         return out, zr, new, gn
 
-    def _outputs(self, h: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray, slice, np.ndarray, np.ndarray]]:
-        """Class by class: the class, which rows, their places in that order, their states and outputs within the class."""
-        cls = y % CLASSES
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        sorted_h, idx = h[order], (y // CLASSES)[order]
-        for c in range(CLASSES):
-            at = slice(edge[c], edge[c + 1])
-            if edge[c] < edge[c + 1]:
-                yield c, order, at, sorted_h[at], idx[at]
+    def run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """All steps of a window: the states after them, (steps, lanes, features), and for each step the state before, gates,
+        candidates and the recurrent part of these, features first, so that each gate lies in one piece.
+
+        ``x`` and ``fresh`` are (steps, lanes), ``h`` is (lanes, features). What is returned lasts until the next call.
+        Steps change layout by themselves, while they are in the cache.
+        """
+        (steps, lanes), n, kind = x.shape, HIDDEN, self.wx.dtype
+        wx, u = self.wx.copy(), np.ascontiguousarray(self.u.T)
+        wx[:, : 2 * n] *= -1  # for the exponentials of the gates
+        u[: 2 * n] *= -1
+        any_fresh, going = fresh.any(1).tolist(), (~fresh).astype(kind)
+        a, out = np.empty((3 * n, lanes), kind), np.ascontiguousarray(h.T)
+        states = self.space("states", steps, lanes, n)
+        befores, cands = self.space("befores", steps, n, lanes), self.space("cands", steps, n, lanes)
+        gates, parts = self.space("gates", steps, 2 * n, lanes), self.space("parts", steps, 3 * n, lanes)
+        for t in range(steps):
+            before, zr, new, g = befores[t], gates[t], cands[t], parts[t]
+            if any_fresh[t]:
+                np.multiply(out, going[t], out=before)
+            else:
+                before[:] = out
+            np.matmul(u, before, out=g)
+            a[:] = wx[x[t]].T
+            np.add(a[: 2 * n], g[: 2 * n], out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            np.multiply(zr[n:], g[2 * n :], out=new)
+            new += a[2 * n :]
+            np.tanh(new, out=new)
+            np.subtract(before, new, out=out)
+            out *= zr[:n]
+            out += new
+            states[t] = out.T
+        return states, befores, gates, cands, parts[:, 2 * n :]
+
+    def _outputs(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+        """Rows ordered by class: their order, states, outputs within the class, logits of these, and each class's place."""
+        cls = (y % CLASSES).astype(np.int16)
+        order = np.argsort(cls, kind="stable")
+        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+        places = [(c, slice(edge[c], edge[c + 1])) for c in range(CLASSES) if edge[c] < edge[c + 1]]
+        states, logits = h[order], np.empty((len(y), CLASSES), np.result_type(h, self.wo))
+        for c, at in places:
+            np.matmul(states[at], self.wo[c], out=logits[at])
+            logits[at] += self.bo[c]
+        return order, states, (y // CLASSES)[order], logits, places
 
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log probabilities of outputs ``y`` after states ``h``, computed class by class."""
+        every = np.arange(len(y))
         lc = h @ self.wc + self.bc
-        out = lc[np.arange(len(y)), y % CLASSES] - _lse(lc)
-        for c, order, at, states, idx in self._outputs(h, y):
-            lo = states @ self.wo[c] + self.bo[c]
-            out[order[at]] += lo[np.arange(len(idx)), idx] - _lse(lo)
+        out = lc[every, y % CLASSES] - _lse(lc)
+        order, _, idx, logits, _ = self._outputs(h, y)
+        out[order] += logits[every, idx] - _lse(logits)
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
         """Mean loss, gradients and last state of a window; ``x``, ``y``, ``fresh`` are (steps, lanes)."""
         steps, lanes = x.shape
         n, kind = HIDDEN, self.wx.dtype
-        rows = self.wx[x]
-        befores, states = np.empty((steps, lanes, n), kind), np.empty((steps, lanes, n), kind)
-        kept = []
-        for t in range(steps):
-            if fresh[t].any():
-                h = np.where(fresh[t][:, None], kind.type(0), h)
-            befores[t] = h
-            h, zr, cand, gn = self.step(rows[t], h)
-            kept.append((zr, cand, gn))
-            states[t] = h
-        flat, target = states.reshape(-1, n), y.ravel()
-        cls = target % CLASSES
-        every = np.arange(len(target))
-        lc = flat @ self.wc + self.bc
-        pc, total = _exps(lc)
+        states, befores, gates, cands, recurrent = self.run(x, fresh, h)
+        last = states[-1].copy()
+        target = y.ravel()
+        every, ones = np.arange(len(target)), np.ones(len(target), kind)
+        order, flat, idx, logits, places = self._outputs(states.reshape(-1, n), target)
+        cls = target[order] % CLASSES
+        pc, total = _exps(flat @ self.wc + self.bc)
         loss = np.log(total) - np.log(pc[every, cls] + kind.type(1e-30))
         pc /= total[:, None]
         pc[every, cls] -= 1
-        dwc, dbc, dflat = flat.T @ pc, pc.sum(0), pc @ self.wc.T
+        dwc, dbc, dflat = flat.T @ pc, ones @ pc, pc @ self.wc.T
         dwo, dbo = np.zeros_like(self.wo), np.zeros_like(self.bo)
-        back = np.empty_like(flat)
-        order = every
-        for c, order, at, part, idx in self._outputs(flat, target):
-            po, total = _exps(part @ self.wo[c] + self.bo[c])
-            mine = every[: len(idx)]
-            loss[order[at]] += np.log(total) - np.log(po[mine, idx] + kind.type(1e-30))
-            po /= total[:, None]
-            po[mine, idx] -= 1
-            dwo[c], dbo[c] = part.T @ po, po.sum(0)
-            back[at] = po @ self.wo[c].T
-        dflat[order] += back
-        dflat = dflat.reshape(steps, lanes, n)
-        dh = np.zeros((lanes, n), kind)
-        inputs, inner = np.empty((steps, lanes, 3 * n), kind), np.empty((steps, lanes, 3 * n), kind)
-        ut = np.ascontiguousarray(self.u.T)
+        po, total = _exps(logits)
+        loss += np.log(total) - np.log(po[every, idx] + kind.type(1e-30))
+        po /= total[:, None]
+        po[every, idx] -= 1
+        for c, at in places:
+            part = po[at]
+            np.matmul(flat[at].T, part, out=dwo[c])
+            np.matmul(ones[at], part, out=dbo[c])
+            dflat[at] += part @ self.wo[c].T
+        dstates = self.space("dstates", steps, lanes, n)
+        dstates.reshape(-1, n)[order] = dflat
+        dh, dg, du = np.zeros((n, lanes), kind), np.empty((3 * n, lanes), kind), np.zeros_like(self.u)
+        inputs = self.space("inputs", steps, lanes, 3 * n)
+        any_fresh, going = fresh.any(1).tolist(), (~fresh).astype(kind)
+        wide, slope = dg[: 2 * n], np.empty((2 * n, lanes), kind)
         for t in range(steps - 1, -1, -1):
-            zr, cand, gn = kept[t]
-            z, r = zr[:, :n], zr[:, n:]
-            dh = dh + dflat[t]
-            da, dg = inputs[t], inner[t]
-            keep = dh * z
-            dn = dh - keep
-            dn *= 1 - cand * cand
-            da[:, 2 * n :] = dn
-            np.multiply(dn, r, out=dg[:, 2 * n :])
-            gates = zr - zr * zr
-            np.multiply(dh * (befores[t] - cand), gates[:, :n], out=da[:, :n])
-            np.multiply(dn * gn, gates[:, n:], out=da[:, n : 2 * n])
-            dg[:, : 2 * n] = da[:, : 2 * n]
-            dh = dg @ ut
+            zr, cand = gates[t], cands[t]
+            dh += dstates[t].T
+            keep = dh * zr[:n]
+            dn = cand * cand
+            np.subtract(1, dn, out=dn)
+            dn *= dh - keep
+            np.multiply(zr, zr, out=slope)
+            np.subtract(zr, slope, out=slope)
+            np.subtract(befores[t], cand, out=wide[:n])
+            wide[:n] *= dh
+            np.multiply(dn, recurrent[t], out=wide[n:])
+            wide *= slope
+            np.multiply(dn, zr[n:], out=dg[2 * n :])
+            inputs[t, :, : 2 * n] = wide.T
+            inputs[t, :, 2 * n :] = dn.T
+            du += befores[t] @ dg.T
+            dh = self.u @ dg
             dh += keep
-            if fresh[t].any():
-                dh[fresh[t]] = 0
-        du = befores.reshape(-1, n).T @ inner.reshape(-1, 3 * n)
-        dwx = np.zeros_like(self.wx)
-        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
-        seen, first = np.unique(x.ravel()[order], return_index=True)
-        dwx[seen] = np.add.reduceat(inputs.reshape(-1, 3 * n)[order], first, axis=0)
+            if any_fresh[t]:
+                dh *= going[t]
+        # tokens of one remainder side by side: their rows are summed by a product with zeros and ones
+        own, heaps = x.ravel(), 4 * CLASSES
+        rest = (own % heaps).astype(np.int16)
+        order = np.argsort(rest, kind="stable")
+        edge = np.searchsorted(rest[order], np.arange(heaps + 1)).tolist()
+        chosen = np.zeros((len(own), CLASSES * CLASSES // heaps), kind)
+        chosen[every, (own // heaps)[order]] = 1
+        rows, dwx = inputs.reshape(-1, 3 * n)[order], np.zeros_like(self.wx)
+        for c in range(heaps):
+            if edge[c] < edge[c + 1]:
+                at = slice(edge[c], edge[c + 1])
+                dwx[c::heaps] = chosen[at].T @ rows[at]
         size = kind.type(len(target))
-        return float(loss.mean()), [g / size for g in (dwx, du, dwc, dbc, dwo, dbo)], h
+        return float(loss.mean()), [g / size for g in (dwx, du, dwc, dbc, dwo, dbo)], last
 
 
 def _exps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exponentials of a table but for a factor of each row, and the sums of its rows."""
-    e = np.exp(x - x.max())
+    e = x - x.max()
+    np.exp(e, out=e)
     total = e @ np.ones(x.shape[1], x.dtype)
     if not (total > 1e-25).all():  # rows far below the largest
         e = np.exp(x - x.max(1)[:, None])
@@ -205,7 +268,9 @@ def _exps(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _lse(x: np.ndarray) -> np.ndarray:
     m = x.max()
-    total = np.exp(x - m) @ np.ones(x.shape[1], x.dtype)
+    e = x - m
+    np.exp(e, out=e)
+    total = e @ np.ones(x.shape[1], x.dtype)
     if (total > 1e-25).all():
         return np.log(total) + m
     m = x.max(1)
@@ -221,13 +286,23 @@ class Adam:
 
     def step(self, grads: list[np.ndarray], rate: float) -> None:
         self.t += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads))
         scale = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+        step, wide = np.float32(rate / (1 - 0.9**self.t)), np.float32(1 / (1 - 0.99**self.t))
         for p, g, a, b in zip(self.gru.parts(), grads, self.m, self.v, strict=True):
             g = g * scale
-            a += np.float32(0.1) * (g - a)
-            b += np.float32(0.01) * (g * g - b)
-            p -= np.float32(rate) * (a / np.float32(1 - 0.9**self.t)) / (np.sqrt(b / np.float32(1 - 0.99**self.t)) + np.float32(1e-8))
+            a *= np.float32(0.9)
+            a += np.float32(0.1) * g
+            g *= g
+            g *= np.float32(0.01)
+            b *= np.float32(0.99)
+            b += g
+            np.multiply(b, wide, out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-8)
+            np.divide(a, g, out=g)
+            g *= step
+            p -= g
 
 
 def train(texts: list[np.ndarray], counts: np.ndarray, updates: int = UPDATES, lanes: int = 64, rate: float = 0.02, seed: int = 3) -> GRU:
@@ -339,35 +414,28 @@ def whole_texts(gru: GRU, texts: list[np.ndarray], lanes: int = LANES) -> np.nda
         n, lane = heapq.heappop(ends)
         dealt[lane].append(i)
         heapq.heappush(ends, (n + int(sizes[i]), lane))
-    runs = [np.concatenate([texts[i] for i in d]) for d in dealt]
-    owner = [np.repeat(np.array(d), sizes[d]) for d in dealt]
-    by_size = np.argsort([-len(r) for r in runs], kind="stable")
-    runs, owner = [runs[i] for i in by_size], [owner[i] for i in by_size]
-    width = np.array([len(r) for r in runs])
+    ahead = np.array([sizes[d].sum() for d in dealt])
+    by_size = np.argsort(-ahead, kind="stable")
+    dealt, width = [dealt[i] for i in by_size], ahead[by_size]
+    run = np.concatenate([texts[i] for d in dealt for i in d])
+    owner = np.repeat(np.array([i for d in dealt for i in d], np.int32), sizes[[i for d in dealt for i in d]])
+    starts = np.cumsum(width) - width
     h = np.zeros((lanes, HIDDEN), np.float32)
     last = np.full(lanes, END)
     for at in range(0, int(width[0]), WINDOW):
         live = int((width > at).sum())
         size = min(WINDOW, int(width[0]) - at)
-        y = np.full((live, size), END)
-        who = np.full((live, size), -1)
-        for k in range(live):
-            part = runs[k][at : at + size]
-            y[k, : len(part)] = part
-            who[k, : len(part)] = owner[k][at : at + size]
-        x = np.concatenate([last[:live, None], y[:, :-1]], 1)
-        h, last = h[:live], y[:, -1]
-        states = np.empty((size, live, HIDDEN), np.float32)
-        rows, fresh = gru.wx[x.T], x.T == END
-        for t in range(size):
-            if fresh[t].any():
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            h = gru.step(rows[t], h)[0]
-            states[t] = h
-        who = who.T.ravel()
-        got = gru.log_probs(states.reshape(-1, HIDDEN), y.T.ravel())
-        ok = who >= 0
-        out += np.bincount(who[ok], got[ok].astype(np.float64), len(texts))
+        step = np.arange(at, at + size)[:, None]
+        ok = step < width[:live]
+        places = np.where(ok, starts[:live] + step, 0)
+        y = np.where(ok, run[places], END)
+        x = np.concatenate([last[None, :live], y[:-1]])
+        last = y[-1]
+        states = gru.run(x, x == END, h[:live])[0]
+        h = states[-1].copy()
+        got = gru.log_probs(states.reshape(-1, HIDDEN), y.ravel())
+        ok = ok.ravel()
+        out += np.bincount(owner[places.ravel()[ok]], got[ok].astype(np.float64), len(texts))
     return out
 
 
@@ -422,7 +490,7 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     short = counts.where(F.length("word") <= LONGEST)
     frequent = short.orderBy(F.desc("c"), "word").limit(FREQUENT).select("word", "c").toArrow()
     top = list(zip(frequent["word"].to_pylist(), frequent["c"].to_pylist(), strict=True))
-    ids = {w: i for i, (w, _) in enumerate(top[:WORDS])}
+    ids = [w for w, _ in top[:WORDS]]
     outside = counts
     if ids:
         listed = spark.createDataFrame([(bytearray(w),) for w in ids], "word binary")
@@ -437,10 +505,15 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
 
     below = int(2**31 * min(1.0, SAMPLE / max(1, ends)))
     some = training.where(F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(2**31)) < below).select(F.col(f"`{text}`").alias("t"))
-    shared_ids = spark.sparkContext.broadcast(ids)
+    # by rank, and by bucket from the end: a word's output, its logarithm if frequent, and its share of its bucket
+    outputs = np.array([*range(len(ids)), *(END + 1 + bucket(w) for w, _ in top[WORDS:]), *range(END + BUCKETS, END, -1)], np.int64)
+    logs = np.append(np.log10(np.array([c for _, c in top], float) + 0.1), np.zeros(BUCKETS))
+    shares = np.where(outputs > END, logs - in_bucket[np.maximum(outputs - END - 1, 0)], 0.0)
+    shared_ids = spark.sparkContext.broadcast((Ranks((w, i) for i, (w, _) in enumerate(top)), outputs))
 
-    def to_ids(words: list[bytes], known: dict) -> np.ndarray:
-        return np.array([i if (i := known.get(w)) is not None else END + 1 + bucket(w) for w in words] + [END], np.int64)
+    def to_ids(words: list[bytes], known: tuple[Ranks, np.ndarray]) -> np.ndarray:
+        ranks, outputs = known
+        return np.append(outputs[ranks.of(words)], END)
 
     @F.arrow_udf("array<int>")
     def coded(texts: pa.Array) -> pa.Array:
@@ -452,45 +525,38 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     for k in range(ROUNDS):
         texts = training.where(turn == k).select(F.col(f"`{text}`"))
         gru, _ = train_round(texts, gru, lambda t: to_ids(tokens(t), shared_ids.value), RATE * (1 - 0.75 * k / (ROUNDS - 1)))
-    shared = spark.sparkContext.broadcast((gru, dict(top)))
+    shared = spark.sparkContext.broadcast((gru, logs, shares))
     names = ["key", "uid", "held_out", "n_tokens", "known", "freq_log", "model_log", "tail"]
     kind = docs.schema[key].dataType.simpleString()
     tail_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gru, often = shared.value
-        known = shared_ids.value
-        end_log = np.log10(ends + 0.1)
-        logs = {w: np.log10(c + 0.1) for w, c in often.items()}
+        gru, logs, shares = shared.value
+        ranks, outputs = shared_ids.value
+        end_log = float(np.log10(ends + 0.1))
         for whole in _gathered(batches):
             for start in range(0, whole.num_rows, SCORED):
                 batch = whole.slice(start, SCORED)
-                coded_, n_tokens, n_known, freq, model, tails, uids = [], [], [], [], [], [], []
+                coded_, n_tokens, n_known, freq, model, uids = [], [], [], [], [], []
+                tail_words, tail_times, tail_ends = [], [], [0]
                 for name, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     words = tokens(t)
-                    x = to_ids(words, known)
-                    coded_.append(x)
-                    times = Counter(words)
-                    tail, f, m, k = [], end_log, 0.0, ends > 0
-                    for w, c in times.items():
-                        log = logs.get(w)
-                        if log is None:
-                            tail.append({"word": w, "times": c})
-                        else:
-                            f += c * log
-                            k += c
-                            if w not in known:
-                                m += c * log
-                    out = x[x > END] - END - 1
-                    m -= float(in_bucket[out].sum())
-                    n_tokens.append(len(x))
-                    n_known.append(int(k))
-                    freq.append(f)
-                    model.append(m)
-                    tails.append(tail)
+                    places = ranks.of(words)
+                    rare = np.flatnonzero(places < 0).tolist()
+                    if rare:
+                        times = Counter([words[i] for i in rare])
+                        tail_words += times.keys()
+                        tail_times += times.values()
+                    tail_ends.append(len(tail_words))
+                    coded_.append(np.append(outputs[places], END))
+                    n_tokens.append(len(words) + 1)
+                    n_known.append(len(words) - len(rare) + (ends > 0))
+                    freq.append(float(logs[places].sum()) + end_log)
+                    model.append(float(shares[places].sum()))
                     uids.append(xxhash.xxh3_128_digest(repr(name).encode() + b"\0" + (t or "").encode()))
+                tails = pa.ListArray.from_arrays(pa.array(tail_ends, pa.int32()), pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_times, pa.int32())], names=["word", "times"]))
                 got = whole_texts(gru, coded_) / np.log(10)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(uids, pa.binary()), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(freq, pa.float64()), pa.array(got + np.array(model), pa.float64()), pa.array(tails, tail_type)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(uids, pa.binary()), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(freq, pa.float64()), pa.array(got + np.array(model), pa.float64()), tails.cast(tail_type)], names=names)
 
     scored = docs.select(F.col(f"`{key}`").alias("key"), held.alias("held_out"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"key {kind}, uid binary, held_out boolean, n_tokens long, known long, freq_log double, model_log double, tail array<struct<word:binary,times:int>>")
     scored = stored(scored, "scored")

@@ -131,3 +131,27 @@ def test_weights_learn_from_all_training_texts(spark, monkeypatch):
     held = [r for r in got if r.held_out]
     assert sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held) > 0.1
     assert sum(took) == got[0].train_tokens
+
+
+def test_windows_share_their_arrays():
+    """States are those of single steps, whatever windows came before; a window takes the arrays of the last one."""
+    import pickle
+
+    gru, rng = tiny()
+    seen = []
+    for lanes, steps in ((7, 5), (3, 5), (7, 2)):
+        x, h = rng.integers(0, END + 1, (steps, lanes)), rng.normal(size=(lanes, HIDDEN)).astype(np.float32)
+        x[steps // 2, 1] = END
+        states = gru.run(x, x == END, h)[0]
+        seen.append(states)
+        for t in range(steps):
+            h = gru.step(gru.wx[x[t]], np.where((x[t] == END)[:, None], np.float32(0), h))[0]
+            assert states[t] == pytest.approx(h, abs=1e-5)
+    assert np.shares_memory(seen[0], seen[1]) and np.shares_memory(seen[0], seen[2])
+    assert len(pickle.dumps(gru)) < 1.1 * sum(p.nbytes for p in gru.parts())
+
+
+def test_ranks_of_words_outside_point_to_their_bucket():
+    ranks = gru_lm.Ranks({b"a": 0, b"b": 1})
+    assert ranks.of([b"b", b"zebra", b"a", b"7", "é".encode()]).tolist() == [1, -1 - 25, 0, -1 - 26, -1 - gru_lm.bucket("é".encode())]
+    assert len(ranks) == 2

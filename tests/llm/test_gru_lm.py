@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanveil.llm import gru_lm, queries
@@ -155,3 +156,38 @@ def test_ranks_of_words_outside_point_to_their_bucket():
     ranks = gru_lm.Ranks({b"a": 0, b"b": 1})
     assert ranks.of([b"b", b"zebra", b"a", b"7", "é".encode()]).tolist() == [1, -1 - 25, 0, -1 - 26, -1 - gru_lm.bucket("é".encode())]
     assert len(ranks) == 2
+
+
+def test_words_become_ids_once(spark, monkeypatch):
+    """Training reads ids, not texts, and all of them."""
+    read, one = [], gru_lm.train_round
+
+    def spied(coded, *args):
+        assert coded.columns == ["ids"]
+        read.extend(len(r.ids) for r in coded.collect())
+        return one(coded, *args)
+
+    monkeypatch.setattr(gru_lm, "train_round", spied)
+    got = queries.op6_gru_lm(spark, "/root/testdata/sf0.001").collect()
+    assert sum(read) == got[0].train_tokens * gru_lm.ID.itemsize
+
+
+def test_words_of_odd_texts():
+    rng = np.random.default_rng(2)
+    odd = ["", None, " ", " a", "  A\t\nB  ", "\x1ca\x1d b\x1e", "\x85x\xa0y z", "é É\x0bÀ\x0c\r", "\0 a\0b", "".join(map(chr, range(300))), "\n\n", "x" * 50 + " 日本 "]
+    odd += ["".join(rng.choice(list("aB \t\x0bé日z\x1f09"), n)) for n in rng.integers(0, 12, 500)]
+    for texts in (pa.array(odd), pa.array(odd).slice(3, 200), pa.array(odd, pa.large_string()), pa.array([], pa.string()), pa.array([None, ""], pa.string())):
+        got, sizes = gru_lm.split(texts)
+        want = [words(t) for t in texts.to_pylist()]
+        assert sizes.tolist() == [len(w) for w in want] and got.to_pylist() == [x for w in want for x in w]
+        distinct = got.dictionary_encode().dictionary.slice(1)
+        assert gru_lm.buckets(distinct).tolist() == [gru_lm.bucket(w.encode()) for w in distinct.to_pylist()]
+
+
+def test_states_that_need_no_way_back_take_one_step_of_each_array():
+    gru, rng = tiny()
+    x, h = rng.integers(0, END + 1, (9, 5)), rng.normal(size=(5, HIDDEN)).astype(np.float32)
+    x[4, 2] = END
+    want = gru.run(x, x == END, h)[0].copy()
+    states, *rest = gru.run(x, x == END, h, back=False)
+    assert np.array_equal(states, want) and all(len(r) == 1 for r in rest)

@@ -19,7 +19,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from spanveil.llm.common import Cache, arrow_map
+from spanveil.llm.common import Cache, arrow_map, droppable
 from spanveil.llm.pretokens import OTHER, STAND_INS, pieces
 
 PIECE_CACHE = 200_000
@@ -146,6 +146,9 @@ def coder(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+droppable(__name__, coder.cache_clear)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids array<int>) of every row; null texts are empty and give an empty list.
 

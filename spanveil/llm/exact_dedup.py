@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanveil.llm.common import SPACES, arrow_map, stored, unused
+from spanveil.llm.common import SPACES, arrow_map, occupy, stored, trim, unused
 
 LEAST, MEAN, MOST = 256, 1024, 8192  # bytes of a chunk
 _REACH = 8
@@ -64,9 +64,11 @@ def _unambiguous(docs: DataFrame, text: str, seed: int) -> bool:
     """Whether under ``seed`` no two different chunks of the corpus have one hash."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        occupy(__name__)
         for batch in batches:
             found = {c for t in batch.column(0).to_pylist() if t for c in cut(squeeze(t))}
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(c, seed) for c in found], pa.binary()), pa.array(found, pa.binary())], names=["hash", "chunk"])
+        trim()
 
     distinct = docs.select(F.col(text)).mapInArrow(chunks, "hash binary, chunk binary").distinct()
     return distinct.groupBy("hash").count().where("count > 1").limit(1).count() == 0

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanveil.llm.common import arrow_map, discard, small, stored, unused
+from spanveil.llm.common import arrow_map, discard, occupy, small, stored, trim, unused
 
 WIDTH = 5
 LIGHT = 32
@@ -142,6 +142,7 @@ def shingles(text: str | None) -> np.ndarray:
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces of batches of ``_BYTES`` of texts, their last column, or a single longer one."""
+    occupy(__name__)
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         total, at = np.cumsum(size), 0
@@ -149,7 +150,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             to = max(at + 1, int(np.searchsorted(total, total[at] - size[at] + _BYTES, "right")))
             yield batch.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()
+    trim()
 
 
 def _class(s: np.ndarray, seed: int) -> int:
@@ -519,7 +520,8 @@ def _joined(docs: DataFrame, text: str, key: str) -> tuple[int, DataFrame]:
         sets = stored(sets.dropDuplicates(["cls"]), "sets")
     discard(wanted)
 
-    nobody = spark.createDataFrame([], "node long, label long")
+    # no local rows: these would go through Python, in workers beside those of the other stages
+    nobody = spark.range(1).select(F.col("id").alias("node"), F.col("id").alias("label")).where(F.lit(False))
     hubs, done = nobody.select(F.col("node").alias("cls")), None
     labels, before = nobody, None
     while True:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import fold, unused
+from spanveil.llm.common import droppable, fold, occupy, unused
 
 POSITIVES = 4_000
 UNLABELLED = 16_000
@@ -114,6 +114,7 @@ def _slots(docs: DataFrame, text: str, key: str, most: int) -> list[np.ndarray]:
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
+        occupy(__name__)
         return pa.array([sorted({slot(w) for w in words(t)}) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
     place = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
@@ -145,12 +146,16 @@ def _scorer(raw: tuple) -> object:
     return Model(bias, np.frombuffer(slots, np.int64), np.frombuffer(weights, np.float64), prior).scorer()
 
 
+droppable(__name__, _scorer.cache_clear)
+
+
 def score(model: Model, text: Column) -> Column:
     """The probability, 0 to 1, that a text is toxic; null texts are empty, and empty texts have a score too."""
     raw = (model.bias, model.slots.astype(np.int64).tobytes(), model.weights.astype(np.float64).tobytes(), model.prior)
 
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
+        occupy(__name__)
         return pa.array(map(_scorer(raw), texts.to_pylist()), pa.float64())
 
     return run(text)
